@@ -2,8 +2,8 @@
 
 Training documents are cut into overlapping passages twice as long as the longest item part, so each item fits into one.
 Every passage is a query against the index and everything at or above its item's threshold (a share of the score that the item has
-against itself) is retrieved: bounds over blocks of items, summed for a whole batch at once from the essential terms, discard
-passages that cannot reach any item's threshold; the rest go through block-max WAND document at a time. A hit counts when
+against itself) is retrieved: bounds of the items, summed for a whole batch of passages at once from their essential terms,
+discard passages that cannot reach any item's threshold; the rest go through block-max WAND, item at a time. A hit counts when
 the five-word shingles of the item's question and of its answer are contained in the document at MIN_OVERLAP or more.
 
 The index is as large as the benchmark. Up to SHARD_WORDS words of it are broadcast at once; a larger benchmark is split
@@ -89,16 +89,15 @@ class Index:
         self._blocks(n)
 
     def _blocks(self, n: int) -> None:
-        """Essential terms, block maxima of all terms, and what inessential terms can add in each block.
+        """Block maxima of all terms, essential terms, and the sum that each part needs of them.
 
-        Of a part's terms, from the smallest impact up, those that together stay below its threshold are inessential:
-        without another one the part is out of reach.
+        Terms of more than a twentieth of the parts are inessential, unless a part's inessential terms alone reach its threshold:
+        without an essential one the part is out of reach.
         """
         by_part: list[list[tuple[float, int]]] = [[] for _ in range(n)]
         for t, plist in enumerate(self.postings):
             for p, impact in plist:
                 by_part[p].append((impact, t))
-        self.n_blocks = (n + BLOCK - 1) // BLOCK
         self.block_max: list[dict[int, float]] = [{} for _ in self.terms]
         for t, plist in enumerate(self.postings):
             for p, impact in plist:
@@ -111,26 +110,28 @@ class Index:
             if rest[p] >= self.threshold[p]:  # a part of common words only: all its terms are essential
                 common -= {t for _, t in terms}
         rest = np.array([sum(i for i, t in terms if t in common) for terms in by_part])
-        gap = self.threshold - rest
-        self.need = np.array([gap[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.n_blocks)])
-        self.first, terms_, blocks_, max_ = np.zeros(len(self.terms) + 1, np.int64), [], [], []
-        for t in range(len(self.terms)):
-            for b, m in sorted(self.block_max[t].items()) if t not in common else ():
-                blocks_.append(b)
-                max_.append(m)
-            self.first[t + 1] = len(blocks_)
-        self.flat_block, self.flat_max = np.array(blocks_, np.int64), np.array(max_)
+        self.need = self.threshold - rest
+        self.first, parts_, impacts_ = np.zeros(len(self.terms) + 1, np.int64), [], []
+        for t, plist in enumerate(self.postings):
+            for p, impact in plist if t not in common else ():
+                parts_.append(p)
+                impacts_.append(impact)
+            self.first[t + 1] = len(parts_)
+        self.flat_part, self.flat_impact = np.array(parts_, np.int64), np.array(impacts_)
         self.essential = np.diff(self.first) > 0
 
-    def candidates(self, windows: np.ndarray, terms: np.ndarray, n_windows: int) -> np.ndarray:
-        """Windows that the block bounds do not discard; windows, terms: one row per essential word of a window."""
+    def candidates(self, windows: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Windows that the bounds do not discard; windows, terms: one row per essential word of a window."""
         if not len(windows):
             return np.zeros(0, np.int64)
+        pairs = np.unique(windows * len(self.terms) + terms)
+        windows, terms = np.divmod(pairs, len(self.terms))
         count = self.first[terms + 1] - self.first[terms]
         at = np.repeat(self.first[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        cells, inverse = np.unique(np.repeat(windows, count) * self.n_blocks + self.flat_block[at], return_inverse=True)
-        bound = np.bincount(inverse, self.flat_max[at])
-        return np.unique(cells[bound >= self.need[cells % self.n_blocks] - 1e-9] // self.n_blocks)
+        n = len(self.parts)
+        cells, inverse = np.unique(np.repeat(windows, count) * n + self.flat_part[at], return_inverse=True)
+        bound = np.bincount(inverse, self.flat_impact[at])
+        return np.unique(cells[bound >= self.need[cells % n] - 1e-9] // n)
 
     def wand(self, terms: set[int]) -> list[tuple[int, float]]:
         """Block-max WAND: every part whose score reaches its threshold, document at a time."""
@@ -191,7 +192,7 @@ class Index:
         starts = np.zeros(first_window[-1] + 1, bool)
         starts[np.array(first_window[:-1])] = True
         back = ~starts[window]
-        live = self.candidates(np.concatenate([window, window[back] - 1]), np.concatenate([terms, terms[back]]), first_window[-1])
+        live = self.candidates(np.concatenate([window, window[back] - 1]), np.concatenate([terms, terms[back]]))
         owner = np.searchsorted(np.array(first_window), live, side="right") - 1
         for d, w in zip(owner.tolist(), live.tolist(), strict=True):
             a = (w - first_window[d]) * stride
