@@ -11,6 +11,7 @@ percent-encoded; a null page_id is always a response; repeated rows share their
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -56,7 +57,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, warc
     revisits = resolve_revisits(pages, min_bytes)
     rows = _headers(pages).join(revisits, ["page_id", "digest"], "left")
     lines = record_text(rows, warc_date)
-    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
     return path
 
 
@@ -103,7 +104,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("record_id", "record_type", "page_id", "payload_bytes", "payload_digest", "refers_to_id")}
         for x in batch.column(0):
-            for fields, block in parse_records(x.as_py()):
+            for fields, block in parse_records(gzip.decompress(x.as_py())):
                 payload = block.partition(b"\r\n\r\n")[2]
                 kept = fields["warc-type"] == "response"
                 out["record_id"].append(fields["warc-record-id"])

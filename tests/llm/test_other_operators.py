@@ -1,5 +1,6 @@
 """Archives, packing, chats, sharding and the pipeline."""
 
+import gzip
 import hashlib
 import random
 from bisect import insort
@@ -20,7 +21,7 @@ def test_warc_roundtrip_edges(spark, tmp_path):
     assert got == Counter(want)
     assert warc.roundtrip(pages.limit(0)).count() == 0
     path = warc.write_archives(pages, str(tmp_path / "w"))
-    records = [r for p in sorted((tmp_path / "w").glob("part-*")) for r in warc.parse_records(p.read_bytes())]
+    records = [r for p in sorted((tmp_path / "w").glob("part-*")) for r in warc.parse_records(gzip.decompress(p.read_bytes()))]
     assert len(records) == len(rows)
     for fields, block in records:
         payload = block.partition(b"\r\n\r\n")[2]
