@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.functions.ranks import before
+
 from . import features, splits
 from .cleaning import drop_incomplete, ticker_codes
 
@@ -69,14 +71,12 @@ def features_of(df: DataFrame) -> list[str]:
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long correlation matrix of average ranks over complete rows: a, b, rho.
 
-    Ranks replace values column by column through small tables of distinct values; the correlations are one aggregation.
+    Ranks replace values column by column through tables of distinct values; the correlations are one aggregation.
     """
     rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
     for c in columns:
-        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(c, (F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).alias(f"__r_{c}"))
-        rows = rows.join(ranks, c)
+        counts = before(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c)
+        rows = rows.join(counts.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"__r_{c}")), c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = rows.agg(*(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}|{b}") for a, b in pairs))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs))).alias("x")).select("x.*")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import special
+from chronopanel.functions.ranks import before
 
 from .features import by_date
 
@@ -160,11 +161,18 @@ def jarque_bera(df: DataFrame, value: str) -> DataFrame:
     return m.select("n", "skewness", "kurtosis", (F.col("n") / 6 * (F.col("skewness") * F.col("skewness") + k * k / 4)).alias("jb"))
 
 
+def ranked(df: DataFrame, value: str) -> DataFrame:
+    """value, position (from 1, equal values numbered on), n."""
+    counts = before(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("__n")), value, "__n")
+    total = counts.agg(F.sum("__n").alias("n"))
+    each = counts.select(value, F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("__n"))).alias("position"))
+    each = each.withColumn("position", F.col("position").cast("int"))
+    return each.join(F.broadcast(total))  # one row
+
+
 def ranked_quantiles(df: DataFrame, value: str) -> DataFrame:
     """position, value, probability (i - 0.5) / n of the sorted values."""
-    i = F.row_number().over(Window.orderBy(value))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.filter(F.col(value).isNotNull()).select(i.alias("position"), F.col(value), ((i - 0.5) / n).alias("probability"))
+    return ranked(df, value).select("position", value, ((F.col("position") - 0.5) / F.col("n")).alias("probability"))
 
 
 def kolmogorov_smirnov(df: DataFrame, value: str, cdf: Callable[[float], float]) -> float:
@@ -174,10 +182,9 @@ def kolmogorov_smirnov(df: DataFrame, value: str, cdf: Callable[[float], float])
         for pdf in batches:
             yield pdf.assign(f=[cdf(float(x)) for x in pdf[value]])
 
-    i = F.row_number().over(Window.orderBy(value))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value), i.alias("i"), n.alias("n")).mapInPandas(run, f"{value} double, i int, n long, f double")
-    return rows.agg(F.max(F.greatest(F.abs(F.col("i") / F.col("n") - F.col("f")), F.abs((F.col("i") - 1) / F.col("n") - F.col("f"))))).first()[0]
+    rows = ranked(df, value).select(value, "position", "n").mapInPandas(run, f"{value} double, position int, n long, f double")
+    i = F.col("position")
+    return rows.agg(F.max(F.greatest(F.abs(i / F.col("n") - F.col("f")), F.abs((i - 1) / F.col("n") - F.col("f"))))).first()[0]
 
 
 def _regress(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

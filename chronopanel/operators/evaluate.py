@@ -46,7 +46,7 @@ def mincer_zarnowitz(df: DataFrame, e: str = "e", s2: str = "sigma2") -> DataFra
 
 
 def calibrated(s2: Column, intercept: Column, slope: Column, with_intercept: bool = False) -> Column:
-    return F.greatest(F.lit(EPS), slope * s2 + (intercept if with_intercept else F.lit(0.0)))
+    return F.when(s2.isNotNull(), F.greatest(F.lit(EPS), slope * s2 + (intercept if with_intercept else F.lit(0.0))))
 
 
 def value_at_risk(df: DataFrame, alphas: tuple[float, ...] = (0.01, 0.05), dist: str = "student", nu: float = 8.0, lam: float | None = None) -> DataFrame:

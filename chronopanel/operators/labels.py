@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.functions.ranks import before
+
 from .features import by_date
 
 
@@ -48,7 +50,6 @@ def classification_metrics(df: DataFrame, label: str = "meta_label", pred: str =
     y, p = F.col(label) == 1, F.col(pred) == 1
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"))
     by_score = df.groupBy(score).agg(F.count_if(y).alias("a"), F.count_if(~y).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = by_score.withColumn("u", F.col("a") * (below + F.col("b") / 2)).agg((F.sum("u") / (F.sum("a") * F.sum("b"))).alias("roc_auc"))
+    area = before(by_score, score, "b", "below").withColumn("u", F.col("a") * (F.col("below") + F.col("b") / 2)).agg((F.sum("u") / (F.sum("a") * F.sum("b"))).alias("roc_auc"))
     precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     return counts.join(F.broadcast(area)).select("n", ((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n")).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), "roc_auc")

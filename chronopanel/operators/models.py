@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.functions.ranks import positions
+
 from . import evaluate
 from .datasets import TARGET, features_of
 
@@ -68,12 +70,18 @@ def tune(df: DataFrame, grid: dict = GRID, n_splits: int = 3, target: str = TARG
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r[1], r[0])), "params string, rmse double")
 
 
-def shuffled_target(df: DataFrame, target: str = TARGET, seed: int = 42) -> DataFrame:
-    """Every row has another row's target: rows and targets are ranked by two hashes of the row, and joined by rank."""
+def shuffled_target(df: DataFrame, target: str = TARGET, seed: int = 42, rows_a_group: int = 50_000) -> DataFrame:
+    """Every row has another row's target: rows fall into random groups, and in each group rows and targets are ranked by two
+    hashes and joined by rank."""
+    groups = max(1, df.count() // rows_a_group)
     key = F.xxhash64(*df.columns)
-    ranked = lambda d, s: d.withColumn("__r", F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(s)), *df.columns)))
-    values = ranked(df, seed + 1).select("__r", F.col(target).alias("__t"))
-    return ranked(df, seed).join(values, "__r").withColumn(target, F.col("__t")).drop("__r", "__t")
+
+    def ranked(s: int) -> DataFrame:
+        keyed = df.withColumn("__g", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(groups)))
+        return keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy(F.xxhash64(key, F.lit(s)), *df.columns)))
+
+    values = ranked(seed + 1).select("__g", "__r", F.col(target).alias("__t"))
+    return ranked(seed + 2).join(values, ["__g", "__r"]).withColumn(target, F.col("__t")).drop("__g", "__r", "__t")
 
 
 def leakage_test(df: DataFrame, params: dict | None = None, target: str = TARGET, seed: int = 42) -> DataFrame:
@@ -90,8 +98,7 @@ def block_permutation(df: DataFrame, model: PipelineModel, columns: list[str], b
     """
     n = df.count()
     size = max(block, int(n * share) // block * block)
-    order = Window.orderBy("date", "ticker")
-    rows = df.withColumn("__i", F.row_number().over(order) - 1).filter(F.col("__i") < size)
+    rows = positions(df, "date", "ticker", out="__i").filter(F.col("__i") < size)
     base = evaluate.regression_metrics(model.transform(rows), target, "pred").first()
     blocks = df.sparkSession.range(0, max(1, size // block)).select(F.col("id").alias("__b"))
     reps = df.sparkSession.range(0, repeats).select(F.col("id").alias("rep"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.functions.ranks import positions
+
 from .features import by_date
 
 
@@ -84,7 +86,5 @@ def window_bounds(positions: DataFrame, kind: str = "expanding", size: int | Non
 
 def recent_share(df: DataFrame, share: float) -> DataFrame:
     """The last max(1, int(share * n)) rows by date, ties by ticker."""
-    w = Window.orderBy(F.desc("date"), F.desc("ticker"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = df.withColumn("__n", F.row_number().over(w)).withColumn("__k", F.greatest(F.lit(1), F.floor(n * share)))
-    return ranked.filter(F.col("__n") <= F.col("__k")).drop("__n", "__k")
+    size = df.agg(F.count(F.lit(1)).alias("__k")).select((F.col("__k") - F.greatest(F.lit(1), F.floor(F.col("__k") * share))).alias("__from"))
+    return positions(df, "date", "ticker", out="__n").join(F.broadcast(size)).filter(F.col("__n") >= F.col("__from")).drop("__n", "__from")  # one row

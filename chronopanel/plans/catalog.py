@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import special
 from chronopanel.functions.columns import crc_code, new_york_date, normalised_ticker, rounded
-from chronopanel.operators import arima, cleaning, datasets, diagnostics, egarch, evaluate, features, guards, labels, models, splits
+from chronopanel.operators import arima, cleaning, comparison, datasets, diagnostics, egarch, evaluate, features, guards, labels, models, refits, selection, splits
 from chronopanel.sources import files, panels
 
 from . import sql as S
@@ -914,6 +914,89 @@ def meta_model(spark, d):
     return rounded(labels.classification_metrics(models.scores(model, df.filter("split = 'test'"))), 4)
 
 
+# Selections and reports
+
+
+@query(S.with_(S.PANEL, "SELECT ticker, date FROM panel WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-06-30'"))
+def date_range(spark, d):
+    return selection.by_date_range(panels.panel(spark, d), "1995-03-01", "1995-06-30", strict=False).select("ticker", "date")
+
+
+@query(S.with_(S.PANEL, "SELECT ticker, date FROM panel WHERE year(date) = 1996"))
+def year_slice(spark, d):
+    return selection.by_year(panels.panel(spark, d), 1996).select("ticker", "date")
+
+
+@query(S.with_(S.INDEX, "SELECT date, CASE WHEN date < DATE '1996-07-01' THEN 'train' ELSE 'test' END AS split FROM idx"))
+def split_at_date(spark, d):
+    return selection.split_by_date(panels.index(spark, d), "1996-07-01").select("date", "split")
+
+
+@query(S.with_(S.PANEL, "SELECT ticker, min(date) AS first, max(date) AS last, count(*) AS n FROM panel GROUP BY ticker"))
+def date_extent(spark, d):
+    return selection.date_extent(panels.panel(spark, d), ("ticker",))
+
+
+@query(S.with_(S.INDEX, "s AS (SELECT r, CASE WHEN row_number() OVER (ORDER BY date) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM idx)", "SELECT split, count(*) AS n, " + ", ".join([S.r("avg(r)", "mean"), S.r("stddev_samp(r)", "std"), S.r("min(r)", "min"), *(S.r(f"quantile_cont(r, {q})", f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)), S.r("max(r)", "max")]) + " FROM s GROUP BY split"))
+def series_summary(spark, d):
+    return rounded(selection.described(splits.split_by_rows(panels.index(spark, d)), "weighted_log_return"))
+
+
+@query(S.with_(S.PANEL, f"SELECT ticker, {S.r('sum(volume * close)', 'turnover')} FROM panel GROUP BY ticker ORDER BY sum(volume * close) DESC, ticker LIMIT 20"))
+def top_turnover(spark, d):
+    sums = panels.panel(spark, d).groupBy("ticker").agg(F.sum(F.col("volume") * F.col("close")).alias("turnover"))
+    return rounded(selection.top(sums, "turnover", 20, "ticker"))
+
+
+@query()
+def plotting_sample(spark, d):
+    return rounded(selection.plotting_sample(panels.index(spark, d), 500))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS text, CAST(o_orderdate AS DATE) AS day FROM orders")
+def date_texts(spark, d):
+    text = selection.date_text(F.col("o_orderdate"), "yyyy/MM/dd")
+    return panels.table(spark, d, "orders").select("o_orderkey", text.alias("text"), selection.parsed_date(text).alias("day"))
+
+
+@query("SELECT event_id, round(greatest(exp(least(700.0, greatest(-700.0, value - 60))), 1e-10) + 1.3e-9, 6) + 0.0 AS s2 FROM events WHERE value < 75")
+def bounded_variance(spark, d):
+    return rounded(panels.ticks(spark, d).filter("value < 75").select("event_id", selection.bounded_variance(F.col("value") - 60).alias("s2")))
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, _CENTRED.format("(e * e)"), f"SELECT CAST(lag AS INT) AS lag, {S.r('sk / s0', 'r')}, n, {S.r('1.96 / sqrt(n)', 'band')}, abs(sk / s0) > 1.96 / sqrt(n) AS outside FROM l, s"))
+def acf_bands(spark, d):
+    return rounded(selection.correlation_bands(diagnostics.autocorrelations(_residuals(spark, d), "e", square=True)))
+
+
+@query(_eval_sql(_MZ, "both_ AS (SELECT 'plain' AS kind, e, sigma2 FROM fc UNION ALL SELECT 'calibrated', e, greatest(1e-12, mz.b * sigma2) FROM fc, mz)", f"SELECT kind, count(*) AS n, {S.r('avg(ln(sigma2) + e * e / sigma2)', 'qlike')}, {S.r('avg((e * e - sigma2) * (e * e - sigma2))', 'mse')}, {S.r('avg(abs(e * e - sigma2))', 'mae')}, {S.r('greatest(0.0, power(corr(e * e, sigma2), 2))', 'r2')} FROM both_ GROUP BY kind"))
+def calibrated_losses(spark, d):
+    return rounded(comparison.calibrated_metrics(_forecasts(spark, d)))
+
+
+_PAIRS = f"""lags AS (SELECT ticker, date, lead(log_volatility) OVER ({_LAG}) AS y, lag(log_volatility) OVER ({_LAG}) AS p1, lag(log_volatility, 2) OVER ({_LAG}) AS p2, lag(log_volatility, 3) OVER ({_LAG}) AS p3 FROM vols),
+pairs AS (SELECT 'lag_1' AS a, 'lag_2' AS b, (y - p1) * (y - p1) - (y - p2) * (y - p2) AS dd FROM lags WHERE y IS NOT NULL UNION ALL SELECT 'lag_2', 'lag_3', (y - p2) * (y - p2) - (y - p3) * (y - p3) FROM lags WHERE y IS NOT NULL)"""
+
+
+@query(S.with_(S.PANEL, S.RETURNS, S.VOLATILITY, _PAIRS, f"SELECT a, b, count(dd) AS n, {S.r('avg(dd)', 'mean_d')}, {S.r('avg(dd) / sqrt(var_samp(dd) / count(dd))', 'dm')} FROM pairs WHERE dd IS NOT NULL GROUP BY a, b"))
+def model_pairs(spark, d):
+    rows = _naive(spark, d)
+    tall = rows.select("ticker", "date", F.col("log_volatility").alias("y"), F.explode(F.array(*(F.struct(F.lit(f"lag_{k}").alias("model"), F.col(f"log_volatility_lag_{k}").alias("pred")) for k in (1, 2, 3)))).alias("m")).select("ticker", "date", "y", "m.*")
+    return rounded(comparison.pairwise(tall, (("lag_1", "lag_2"), ("lag_2", "lag_3"))))
+
+
+@query()
+def egarch_refit_forecast(spark, d):
+    df = splits.split_by_rows(_prio_residuals(spark, d, 220).filter("series = '1-URGENT'"))
+    return rounded(refits.forecasts(df, start=150, every=21, steps=60).select("series", "date", "split", "e", "sigma2", "refit"), 4)
+
+
+@query()
+def egarch_search(spark, d):
+    trials = [t for t in refits.search_space((1,), ("student",), (63,), (100,))]
+    return rounded(refits.search(_prio_residuals(spark, d, 220).filter("series = '1-URGENT'"), trials, 150, 40), 3)
+
+
 # Streaming extension
 
 
