@@ -10,7 +10,8 @@ bytes. Then
 3. the distinct cells of a k-gram that differ are sorted as suffixes from their anchor; the stack scan over common prefixes
    yields the interval tree, and each interval with diverse left extensions gives maximal repeats with all occurrences: the
    longest common left context of an occurrence with any other one of the interval, plus the prefix, if they reach LENGTH;
-4. k-grams with more than GROUP distinct cells are not gathered: their windows are hashed and counted with partial sums.
+4. k-grams with more than GROUP distinct cells are not gathered: runs of their windows, and only where those differ single windows,
+   are hashed and counted with partial sums.
 
 A cell is at most one window's range of starts, so nothing is lost where documents or long texts are cut.
 
@@ -33,6 +34,7 @@ from .common import staged, text_or_empty, tune
 
 LENGTH, GRAM = 400, 96
 GROUP = 256
+STRIDE = 16
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(256)], np.uint64)
@@ -215,20 +217,49 @@ def _covers(length: int):
     return run
 
 
-def _windows(length: int):
+SEGMENT_ROW = "id long, row long, start int, anchor int, once boolean, slot int, core long, whole long, hashes array<long>"
+
+
+def _segments(length: int):
+    """Windows of each cell in runs of STRIDE by their distance from the anchor: a hash of what all windows of such a run share, one of
+    the bytes of this run, and one of each window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda data, seed=0: xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
         for batch in batches:
             out: list[tuple] = []
-            for i, row, lo, at, once, left, right in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                whole = memoryview(left[::-1] + right)
-                out += [(i, row, lo + s, at - lo - s, once, xxhash.xxh3_64_intdigest(whole[s : s + length]) - (1 << 63)) for s in range(len(whole) - length + 1)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "row", "start", "offset", "once", "hash"])
+            for i, row, lo, at, once, left, right in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                whole, reach = memoryview(left[::-1] + right), len(left)  # the anchor's place
+                last = len(whole) - length
+                for slot in range((reach - last) // STRIDE, reach // STRIDE + 1):
+                    near, far = reach - slot * STRIDE, reach - slot * STRIDE - STRIDE + 1
+                    a, b = max(0, far), min(last, near)
+                    core = digest(whole[near : far + length], slot)
+                    out.append((i, row, lo + a, at, once, slot, core, digest(whole[a : b + length], reach - a), [digest(whole[w : w + length]) for w in range(a, b + 1)]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SEGMENT_ROW.split(", ")])
 
     return run
 
 
+def counted_covers(sliced: DataFrame, length: int) -> list[DataFrame]:
+    """Covers of cells whose k-gram has too many distinct cells to gather, by partial sums only.
+
+    Runs of windows that occur again as a whole are repeats; only one of each kind of the others with a common core is taken apart.
+    """
+    rows = staged(sliced.select("id", "row", "lo", "anchor", "once", "lefts", "rights").mapInArrow(_segments(length), SEGMENT_ROW), "repeat-segments")
+    kinds = staged(rows.groupBy("slot", "core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "start", "anchor", "once", "hashes")).alias("at")), "repeat-runs")
+    again = staged(kinds.filter("n > 1").select("slot", "core", "whole"), "repeat-runs-again")
+    end = F.col("start") + F.size("hashes") - 1 + length
+    full = rows.filter("once").join(again, ["slot", "core", "whole"]).select("id", "row", "start", end.alias("end"))
+    mixed = staged(kinds.groupBy("slot", "core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("slot", "core"), "repeat-runs-mixed")
+    apart = kinds.join(mixed, ["slot", "core"]).select("n", "at.*").select("n", "id", "row", "start", "anchor", "once", F.posexplode("hashes").alias("i", "hash"))
+    windows = staged(apart.select("id", "row", (F.col("start") + F.col("i")).alias("start"), (F.col("anchor") - F.col("start") - F.col("i")).alias("offset"), (F.col("once") & (F.col("n") == 1)).alias("once"), "hash"), "repeat-windows")
+    known = staged(windows.groupBy("hash", "offset").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "offset"), "repeat-known")
+    return [full, windows.filter("once").join(known, ["hash", "offset"]).select("id", "row", "start", (F.col("start") + length).alias("end"))]
+
+
 def repeat_covers(docs: DataFrame, length: int = LENGTH, k: int = GRAM, group: int = GROUP) -> DataFrame:
     """(id, row, start, end): byte ranges that repeats of at least length bytes cover; they may overlap."""
     spark = docs.sparkSession
@@ -253,10 +284,7 @@ def repeat_covers(docs: DataFrame, length: int = LENGTH, k: int = GRAM, group: i
     tune(spark, 2000)
     parts = [full, few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_covers(length), COVER)]
     if large.head(1):
-        many = sliced.join(large, "gram", "left_semi").select("id", "row", "lo", "anchor", "once", "lefts", "rights")
-        windows = staged(many.mapInArrow(_windows(length), "id long, row long, start int, offset int, once boolean, hash long"), "repeat-windows")
-        known = staged(windows.groupBy("hash", "offset").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "offset"), "repeat-known")
-        parts.append(windows.filter("once").join(known, ["hash", "offset"]).select("id", "row", "start", (F.col("start") + length).alias("end")))
+        parts += counted_covers(sliced.join(large, "gram", "left_semi"), length)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
