@@ -21,6 +21,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """doc_id as long, and text without nulls."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
 def tune(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows: texts can be long, and a Python worker holds a batch at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty, tune
+from .common import id_and_text, staged, text_or_empty, tune
 
 FIT_ROWS = 4000
 MAX_STEMS = 4000
@@ -123,7 +123,7 @@ def features(text: str, lexicon: Lexicon, machine: Composed) -> tuple[float, flo
     words = TOKEN.findall(text.lower())
     heads, threats = lexicon.heads, CLASS_OF
     weights = {i: w for i, x in enumerate(words) if x[:SHORT] in heads and (w := lexicon.weight(x))}
-    hits = sorted(weights.keys() | ({i for i, x in enumerate(words) if threats.get(x) == "T"} if any(v in words for v in _THREATS) else set()))
+    hits = sorted(weights.keys() | ({i for i, x in enumerate(words) if threats.get(x) == "T"} if not _THREATS.isdisjoint(words) else set()))
     total, top, done = 0.0, 0.0, -1
     for i in hits:
         if i <= done:
@@ -147,7 +147,7 @@ def features(text: str, lexicon: Lexicon, machine: Composed) -> tuple[float, flo
     return math.log1p(total), top, 30.0 * total / (len(words) + 30)
 
 
-_THREATS = [w for w, c in CLASS_OF.items() if c == "T"]
+_THREATS = frozenset(w for w, c in CLASS_OF.items() if c == "T")
 
 
 class Model:
@@ -247,7 +247,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     tune(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
