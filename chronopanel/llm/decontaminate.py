@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tune
+from .common import id_and_text, text_or_empty, tune
 
 K1, B = 1.2, 0.75
 SHINGLE, MIN_OVERLAP = 5, 0.8
@@ -236,7 +236,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), items, best, pa.array([bool(h) for h in hits], pa.bool_())], names=["doc_id", "item_ids", "best_score", "contaminated"])
 
     tune(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, item_ids array<long>, best_score double, contaminated boolean")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, item_ids array<long>, best_score double, contaminated boolean")
 
 
 def _search(shards: list, texts: list[str | None]) -> list[dict[int, float]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tune
+from .common import id_and_text, tune
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -115,7 +115,7 @@ def spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     tune(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
