@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_copies, staged, text_or_empty, tune
+from .common import first_of_copies, id_and_text, staged, text_or_empty, tune
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -53,15 +53,15 @@ def fingerprint(text: str | bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+    """doc_id, row (a hash of the text), fp (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
     tune(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 @cache
@@ -77,8 +77,11 @@ def decoder() -> np.ndarray:
     errors = np.array([sum(1 << b for b in c) for k in range(4) for c in combinations(range(23), k)], np.int64)
     leader = np.zeros(2048, np.int64)
     leader[syndrome(errors)] = errors
-    words = np.arange(1 << WORD_BITS, dtype=np.int64)
-    return ((words ^ leader[syndrome(words)]) >> 11).astype(np.uint16)
+    out = np.empty(1 << WORD_BITS, np.uint16)
+    for at in range(0, len(out), 1 << 18):  # a part at a time: the worker's memory is small
+        words = np.arange(at, at + (1 << 18), dtype=np.int64)
+        out[at : at + (1 << 18)] = (words ^ leader[syndrome(words)]) >> 11
+    return out
 
 
 def fuzzy_keys(words: np.ndarray) -> np.ndarray:
@@ -222,19 +225,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, row, fp, root (a fingerprint of the component), component_id of every row."""
     rows = staged(fingerprints(docs), "simhash-fps")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     roots = components(link_fingerprints(distinct.select("fp")))
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = staged(classes.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = staged(named.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return rows.join(named, "fp").select("doc_id", "row", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay (the smallest doc_id of each component), with all their columns."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    return first_of_copies(keyed.join(kept, "__id"), "__id").select(*docs.columns)
+    """The rows of docs that stay, with all their columns: of each component one row with the smallest doc_id (of rows that share that
+    id, the one whose text has the smallest hash)."""
+    none = F.lit(-(2**63))
+    first = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("__id"), F.col("row").alias("__row"))).alias("k"))
+    kept = first.select("k.*").distinct()
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__row", F.xxhash64(text_or_empty()))
+    return first_of_copies(keyed.join(kept, ["__id", "__row"]), "__id", "__row").select(*docs.columns)

@@ -156,6 +156,8 @@ def test_simhash_edges(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 4, 8]
+    shared = docs_of(spark, ["one two three four five six", "alpha beta gamma delta epsilon", "one two three four five six"], ids=[5, 5, 2])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(shared).collect()) == [(2, "one two three four five six"), (5, "alpha beta gamma delta epsilon")]
 
 
 @pytest.mark.parametrize("bucket", [4096, 8])
