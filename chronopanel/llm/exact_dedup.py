@@ -1,9 +1,9 @@
 """Exact duplicates by a content sort, with DataFrame operations only.
 
 Normalised bytes are range-partitioned at sampled splitters (a short head of the bytes routes, a hash of the whole text
-and a salt refine the order, so equal texts meet and a hot text spreads over neighbouring ranges), sorted externally,
-and neighbours are compared in full: the window groups rows by the whole normalised text. The smallest id of each salted
-run is then merged across runs by SHA-256, on small pre-aggregated rows.
+and a salt refine the order, so equal texts meet and a hot text spreads over neighbouring ranges), sorted externally by
+the whole text and id, and each row is compared in full with its neighbour: where it differs a run opens, and with it comes the
+run's smallest id. A hot text's runs are then merged by SHA-256, on small pre-aggregated rows.
 
 Defined cases: a null text is an empty text; a null doc_id sorts last and stays only where its text has no other id; of
 repeated rows (equal id and text) one is kept; extra columns are ignored; an empty table gives no rows.
@@ -27,7 +27,7 @@ def normalised(text: Column) -> Column:
 
 
 def sorted_runs(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(doc_id, digest, salt, first_id, place): each row with the smallest id of its text's run, and its place there."""
+    """(doc_id, digest, salt, first_id, opens): each row with the smallest id of its text's run; opens marks that row."""
     keyed = docs.select("doc_id", normalised(text_or_empty()).alias("norm")).select(
         "doc_id",
         "norm",
@@ -35,10 +35,11 @@ def sorted_runs(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.xxhash64("norm").alias("h"),
         F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt"),
     )
-    run = Window.partitionBy("head", "h", "norm", "salt").orderBy(F.col("doc_id").asc_nulls_last())
-    ranged = keyed.repartitionByRange("head", "h", "salt")  # satisfies the window's distribution: no other exchange
-    placed = ranged.select("*", F.row_number().over(run).alias("place"), F.first("doc_id").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first_id"))
-    return placed.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), "salt", "first_id", "place")
+    ranged = keyed.repartitionByRange("head", "h", "salt")  # satisfies the windows' distribution: no other exchange
+    order = Window.partitionBy("head", "h", "salt").orderBy("norm", F.col("doc_id").asc_nulls_last())
+    placed = ranged.withColumn("opens", ~F.col("norm").eqNullSafe(F.lag("norm").over(order)))
+    first = F.last(F.when(F.col("opens"), F.struct("doc_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), "salt", first["doc_id"].alias("first_id"), "opens")
 
 
 def classes(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -47,7 +48,7 @@ def classes(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     groups = runs.groupBy("digest").agg(F.min("first_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.collect_set("salt").alias("salts"))
     spread = groups.select("digest", "keep_id", "group_size", F.explode("salts").alias("salt"))
     # Of rows without an id none is the first of another run; salt 0 .. salts-1 of a null id is one run.
-    kept = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    kept = F.col("opens") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return runs.join(spread, ["digest", "salt"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
