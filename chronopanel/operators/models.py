@@ -48,12 +48,12 @@ def fold_dates(df: DataFrame, n_splits: int = 5) -> DataFrame:
     return df.join(days.select("date", fold.alias("fold")), "date")
 
 
-def cross_validate(df: DataFrame, params: dict, n_splits: int = 5, target: str = TARGET) -> list[float]:
+def cross_validate(df: DataFrame, params: dict, n_splits: int = 5, target: str = TARGET, kind: str = "gbt") -> list[float]:
     """RMSE of each fold; a model sees only dates before its fold."""
     folds = fold_dates(df, n_splits)
     out = []
     for k in range(1, n_splits + 1):
-        model = train(folds.filter(F.col("fold") < k), params, target, features_of(df))
+        model = train(folds.filter(F.col("fold") < k), params, target, features_of(df), kind)
         out.append(evaluate.regression_metrics(model.transform(folds.filter(F.col("fold") == k)), target, "pred").first()["rmse"])
     return out
 
@@ -70,6 +70,20 @@ def tune(df: DataFrame, grid: dict = GRID, n_splits: int = 3, target: str = TARG
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r[1], r[0])), "params string, rmse double")
 
 
+def choose(df: DataFrame, grids: dict[str, dict], n_splits: int = 3, target: str = TARGET) -> tuple[str, dict, PipelineModel]:
+    """The kind and parameters of least mean RMSE over time folds of the train rows, fitted on all of them."""
+    train_rows = df.filter("split = 'train'")
+    best = None
+    for kind, grid in sorted(grids.items()):
+        for values in product(*grid.values()):
+            params = dict(zip(grid, values, strict=True))
+            found = cross_validate(train_rows, params, n_splits, target, kind)
+            score = sum(found) / len(found)
+            if best is None or score < best[0]:
+                best = (score, kind, params)
+    return best[1], best[2], train(train_rows, best[2], target, features_of(df), best[1])
+
+
 def shuffled_target(df: DataFrame, target: str = TARGET, seed: int = 42, rows_a_group: int = 50_000) -> DataFrame:
     """Every row has another row's target: rows fall into random groups, and in each group rows and targets are ranked by two
     hashes and joined by rank."""
@@ -122,5 +136,18 @@ def meta_model(df: DataFrame, inputs: list[str], label: str = "meta_label") -> P
     return Pipeline(stages=stages).fit(df)
 
 
+def stratified_auc(df: DataFrame, inputs: list[str], label: str = "meta_label", folds: int = 3) -> float:
+    """Mean area under the curve over folds that share out each class evenly: rows are dealt by rank of a hash within their class and day."""
+    from .labels import balance_weights, classification_metrics
+
+    w = Window.partitionBy(label, "date").orderBy(F.xxhash64(*df.columns))
+    dealt = df.withColumn("__fold", F.pmod(F.row_number().over(w) + F.xxhash64(label, "date"), F.lit(folds)))
+    areas = []
+    for k in range(folds):
+        model = meta_model(balance_weights(dealt.filter(F.col("__fold") != k), label), inputs, label)
+        areas.append(classification_metrics(scores(model, dealt.filter(F.col("__fold") == k)), label).first()["roc_auc"])
+    return sum(areas) / folds
+
+
 def scores(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])

@@ -55,8 +55,9 @@ def trim_warmup(df: DataFrame, n: int = 20) -> DataFrame:
 
 def drop_contaminated(df: DataFrame, n: int = 4) -> DataFrame:
     """Without each ticker's first n test rows, whose volatility windows reach into train."""
-    w = Window.partitionBy("ticker", "split").orderBy("date")
-    return df.withColumn("__n", F.row_number().over(w)).filter((F.col("split") != "test") | (F.col("__n") > n)).drop("__n")
+    seen = by_date().rowsBetween(Window.unboundedPreceding, 0)  # the order of the features: no sort of its own
+    tested = F.count(F.when(F.col("split") == "test", 1)).over(seen)
+    return df.withColumn("__n", tested).filter((F.col("split") != "test") | (F.col("__n") > n)).drop("__n")
 
 
 def skip_first(df: DataFrame, n: int = 250) -> DataFrame:

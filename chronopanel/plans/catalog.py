@@ -905,6 +905,13 @@ def leakage_shuffle(spark, d):
     return rounded(models.leakage_test(_model_table(spark, d), _SMALL), 4)
 
 
+@query()
+def model_choice(spark, d):
+    kind, params, model = models.choose(_model_table(spark, d), {"linear": {"regParam": (0.0, 0.1)}, "forest": {"maxDepth": (3,), "numTrees": (5,)}}, 2)
+    test = model.transform(_model_table(spark, d).filter("split = 'test'"))
+    return rounded(evaluate.regression_metrics(test, "log_volatility", "pred").withColumn("kind", F.lit(kind)).withColumn("params", F.lit(str(params))), 4)
+
+
 @query()
 def meta_model(spark, d):
     df = labels.meta_events(labels.triple_barrier(features.with_all_features(panels.panel_prio(spark, d))))

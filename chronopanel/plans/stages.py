@@ -98,8 +98,16 @@ def label(run: Run) -> None:
     run.put("meta_events", labels.meta_events(df))
 
 
+def meta(run: Run) -> None:
+    columns = ["log_return", "log_volatility", "volume"]
+    df = splits.split_by_distinct_dates(run.get("meta_events").drop("split"))
+    model = models.meta_model(labels.balance_weights(df.filter("split = 'train'")), columns)
+    model.write().overwrite().save(f"{run.root}/models/meta")
+    run.put("meta_metrics", labels.classification_metrics(models.scores(model, df.filter("split = 'test'"))))
+
+
 #: In order; each needs only tables of the ones before.
-STAGES: list[tuple[str, Callable[[Run], None]]] = [(f.__name__, f) for f in (fetch, clean, prepare, forecast_mean, forecast_variance, insights, learning_tables, train, compare, label)]
+STAGES: list[tuple[str, Callable[[Run], None]]] = [(f.__name__, f) for f in (fetch, clean, prepare, forecast_mean, forecast_variance, insights, learning_tables, train, compare, label, meta)]
 
 
 def run_all(run: Run, first: str | None = None, last: str | None = None) -> list[str]:

@@ -231,6 +231,10 @@ def test_training_importance_and_leakage(spark):
     assert not models.leakage_test(df, small).first()["leak"]
     folds = models.fold_dates(df, 3).groupBy("fold").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).orderBy("fold").collect()
     assert all(a["hi"] < b["lo"] for a, b in zip(folds, folds[1:], strict=False))
+    kind, params, _ = models.choose(df, {"linear": {"regParam": (0.0, 5.0)}, "forest": {"maxDepth": (1,), "numTrees": (2,)}}, 2)
+    assert (kind, params) == ("linear", {"regParam": 0.0})
+    marked = df.withColumn("meta_label", (F.col("good") + F.col("useless") / 10 > 0).cast("int"))
+    assert models.stratified_auc(marked, ["good", "useless"], folds=2) > 0.9
     assert models.tune(df, {"maxDepth": (2,), "maxIter": (2, 4)}, 2).count() == 2
 
 

@@ -95,9 +95,10 @@ def test_comparison(spark, days):
 
 def test_all_stages(spark, sf, tmp_path):
     run = stages.Run(spark, sf.replace("sf0.001", "sf0.01"), str(tmp_path / "run"), refit=400, start=300, steps=10, params={"maxDepth": 2, "maxIter": 2})
-    assert stages.run_all(run)[-1] == "label"
+    assert stages.run_all(run)[-1] == "meta"
     assert run.get("model_metrics").count() == 8
     assert run.get("model_pairs").count() == 5
     assert not run.get("leakage").first()["leak"]
     assert run.get("garch_forecasts").filter("sigma2 <= 0").isEmpty()
+    assert 0 <= run.get("meta_metrics").first()["roc_auc"] <= 1
     assert run.get("labels").filter("split = 'train' and triple_barrier_label is not null").isEmpty()
