@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.functions.ranks import before
+from chronopanel.functions.ranks import before, splitters
+from chronopanel.sources.staging import staged
 
 from . import features, splits
 from .cleaning import drop_incomplete, ticker_codes
@@ -19,9 +20,8 @@ def prepare(df: DataFrame) -> DataFrame:
     """From quotes with log_sigma_garch: volatility, indicators, lags, next-day target, complete rows, date split, ticker code."""
     df = features.with_volatility(features.with_all_features(df)).filter("log_sigma_garch is not null")
     df = features.with_lags(df, [*features.TECHNICAL, TARGET, *INSIGHT])
-    df = features.with_next_target(df, TARGET)
-    df = splits.split_by_distinct_dates(drop_incomplete(df))
-    return ticker_codes(df).drop("log_volume", "high", "low")
+    df = staged(drop_incomplete(features.with_next_target(df, TARGET)), "learning")  # read three times below
+    return ticker_codes(splits.split_by_distinct_dates(df)).drop("log_volume", "high", "low")
 
 
 def _lags(columns: tuple[str, ...], with_lags: bool = True) -> list[str]:
@@ -73,9 +73,10 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Ranks replace values column by column through tables of distinct values; the correlations are one aggregation.
     """
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
+    rows = staged(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop(), "ranks")  # read once a column
+    bounds = splitters(rows, columns)
     for c in columns:
-        counts = before(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c)
+        counts = before(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, bounds=bounds[c])
         rows = rows.join(counts.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"__r_{c}")), c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = rows.agg(*(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}|{b}") for a, b in pairs))
