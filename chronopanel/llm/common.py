@@ -1,16 +1,13 @@
-"""What the corpus operators share: text defaults, Arrow batch size and staged tables."""
+"""What the corpus operators share: text defaults, Arrow batch size and staged tables (those of the library)."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_ROOTS: dict[str, str] = {}
+from chronopanel.sources.staging import fresh_path, release, shared_dir, staged
+
+__all__ = ["first_of_copies", "fresh_path", "id_and_text", "release", "shared_dir", "staged", "table", "text_or_empty", "tune"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,48 +28,10 @@ def tune(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        base = base or tempfile.mkdtemp(prefix="chronopanel-")
-        _ROOTS[app] = f"{base.rstrip('/')}/chronopanel-{app}"
-        atexit.register(release, spark)
-    return _ROOTS[app]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
-
-    This cuts the lineage, survives the loss of any executor, and (unlike a cached or checkpointed plan)
-    leaves the reader without an output partitioning, so that AQE can split skewed joins on it.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every staged table of this application (also done at exit)."""
-    root = _ROOTS.pop(spark.sparkContext.applicationId, None) if spark.sparkContext._jsc else None
-    if root:
-        with contextlib.suppress(Exception):
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def first_of_copies(df: DataFrame, *keys: str) -> DataFrame:
     """One row of each set of repeated rows (equal keys), chosen arbitrarily among identical ones.
 
     Meant to follow a join on the same keys: the window then reuses the join's partitioning and needs no exchange.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(F.lit(0))
     return df.withColumn("__copy", F.row_number().over(w)).filter("__copy = 1").drop("__copy")
