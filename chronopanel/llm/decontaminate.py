@@ -6,8 +6,8 @@ against itself) is retrieved: bounds of the items, summed for a whole batch of p
 discard passages that cannot reach any item's threshold; the rest go through block-max WAND, item at a time. A hit counts when
 the five-word shingles of the item's question and of its answer are contained in the document at MIN_OVERLAP or more.
 
-The index is as large as the benchmark. Up to SHARD_WORDS words of it are broadcast at once; a larger benchmark is split
-into as many shards as needed and the documents pass all of them one after the other.
+An index holds SHARD_WORDS words of the benchmark at most and is broadcast; a larger benchmark is split into as many as needed,
+which the documents pass one after the other.
 
 Defined cases: null texts are empty and match nothing; items without words are ignored; items of fewer than five words count as
 one shingle; items with equal texts are all reported; repeated rows each have a result.
@@ -19,14 +19,15 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, text_or_empty, tune
+from .common import id_and_text, staged, text_or_empty, tune
 
 K1, B = 1.2, 0.75
 SHINGLE, MIN_OVERLAP = 5, 0.8
@@ -212,51 +213,64 @@ class Index:
         return [(i, found[i]) for i in sorted(found) if all(map(good, self.checks[i]))]
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """One index for each SHARD_WORDS words of the benchmark; each has a proven size and is shipped to the tasks."""
-    out, rows, size = [], [], 0
+def indexes(benchmark: DataFrame, words: int = SHARD_WORDS) -> Iterator[Index]:
+    """One index after the other, each of about so many words of the benchmark at most (or one item)."""
+    rows, size = [], 0
     for r in benchmark.filter("item_id is not null").select("item_id", text_or_empty().alias("text")).orderBy("item_id").toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1]) // 5 + 1
-        if size >= SHARD_WORDS:
-            out.append(Index(rows))
+        if size >= words:
+            yield Index(rows)
             rows, size = [], 0
-    return [*out, *([Index(rows)] if rows else [])]
-
-
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    if rows:
+        yield Index(rows)
+
+
+def _passes(df: DataFrame, benchmark: DataFrame, words: int, one: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """df through one(df, index, last) for each index; between two the rows are written, so one index at a time is shipped."""
+    shards = indexes(benchmark, words)
+    now = next(shards, None)
+    while now is not None:
+        after = next(shards, None)
+        held = df.sparkSession.sparkContext.broadcast(now)
+        df = one(df, held, after is None)
+        if after is not None:
+            df = staged(df, "items")
+            held.destroy()
+        now = after
+    return df
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_ids (sorted), best_score, contaminated of every row."""
-    shards = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(benchmark)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = _search(shards, batch.column(1).to_pylist())
-            items = pa.array([sorted(h) for h in hits], pa.list_(pa.int64()))
-            best = pa.array([max(h.values()) if h else None for h in hits], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), items, best, pa.array([bool(h) for h in hits], pa.bool_())], names=["doc_id", "item_ids", "best_score", "contaminated"])
-
-    tune(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(run, "doc_id long, item_ids array<long>, best_score double, contaminated boolean")
+    def one(df: DataFrame, index: Broadcast, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before, best, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), [[], []]
+                for items, score, found in zip(before, best, index.value.search(batch.column(3).to_pylist()), strict=True):
+                    out[0].append(sorted({*items, *(i for i, _ in found)}) if found else items)
+                    out[1].append(max([s for _, s in found] + ([] if score is None else [score]), default=None))
+                columns = [batch.column(0), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([] if last else [batch.column(3)])], names=["doc_id", "item_ids", "best_score", *([] if last else ["text"])])
 
+        return df.mapInArrow(run, "doc_id long, item_ids array<long>, best_score double" + ("" if last else ", text string"))
 
-def _search(shards: list, texts: list[str | None]) -> list[dict[int, float]]:
-    hits: list[dict[int, float]] = [{} for _ in texts]
-    for shard in shards:
-        for h, found in zip(hits, shard.value.search(texts), strict=True):
-            h.update(found)
-    return hits
+    tune(docs.sparkSession)
+    start = id_and_text(docs).select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(None).cast("double").alias("best_score"), "text")
+    return _passes(start, benchmark, words, one).select("doc_id", "item_ids", "best_score", (F.size("item_ids") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any item, with all their columns, in one pass."""
-    shards = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(benchmark)]
+def clean(docs: DataFrame, benchmark: DataFrame, words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of docs without any item, with all their columns; a pass an index."""
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not h for h in _search(shards, batch.column(at).to_pylist())], pa.bool_()))
-
-    tune(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    def one(df: DataFrame, index: Broadcast, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not f for f in index.value.search(batch.column(at).to_pylist())], pa.bool_()))
 
+        return df.mapInArrow(run, docs.schema)
 
+    tune(docs.sparkSession)
+    return _passes(docs, benchmark, words, one)

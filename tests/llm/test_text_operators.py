@@ -268,6 +268,10 @@ def test_decontamination_edges(spark):
     assert [got[i]["item_ids"] for i in range(5)] == [[], [], [1], [], [4]]
     kept = decontaminate.clean(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3]
+    for words in (1, 5):  # an index an item, or two
+        again = by_id(decontaminate.matches(docs, items, words))
+        assert {i: r["item_ids"] for i, r in again.items()} == {i: r["item_ids"] for i, r in got.items()}
+        assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items, words).collect()) == [0, 1, 3]
     assert decontaminate.matches(docs, items.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.matches(docs.limit(0), items).count() == 0
 
