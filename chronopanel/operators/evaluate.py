@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,25 +117,36 @@ def diebold_mariano(df: DataFrame, e1: str, e2: str, power: int = 2, h: int = 1,
     return stats.withColumn("dm", F.when(F.col("variance") > 0, F.col("mean_d") / F.sqrt(F.col("variance") / F.col("n"))).otherwise(F.lit(0.0)))
 
 
+def _poisson_weights(keys: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """Poisson(1) weight of each row in a repetition, from a hash of both: the same however rows are dealt."""
+    x = keys + np.uint64((rep * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(_POISSON, u, side="right").astype(float)
+
+
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
 def bootstrap_r2(df: DataFrame, y: str, p1: str, p2: str, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """rep, r2_1, r2_2, difference: Poisson(1) weights stand for resampled rows, so no row moves.
+    """rep, r2_1, r2_2, difference: Poisson(1) weights stand for resampled rows, so no row moves or multiplies.
 
-    Rows and repetitions meet in one expansion with map-side sums; the result has a row a repetition.
+    Each task keeps five sums a repetition over its Arrow batches; those alone are shuffled.
     """
-    rows = df.filter(F.col(y).isNotNull() & F.col(p1).isNotNull() & F.col(p2).isNotNull()).select(F.col(y).alias("y"), F.col(p1).alias("a"), F.col(p2).alias("b"), F.xxhash64(*df.columns).alias("k"))
-    many = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    # A hash of row and repetition is uniform; the inverse Poisson distribution function has few steps.
-    u = F.pmod(F.xxhash64("k", "rep", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    weight, total, mass = F.lit(9), 0.0, 0.36787944117144233
-    steps = []
-    for k in range(9):
-        total += mass
-        steps.append((k, total))
-        mass /= k + 1
-    for k, t in reversed(steps):
-        weight = F.when(u < t, F.lit(k)).otherwise(weight)
-    w, yy = F.col("w"), F.col("y")
-    sums = many.withColumn("w", weight).filter("w > 0").groupBy("rep").agg(F.sum("w").alias("n"), F.sum(w * yy).alias("s"), F.sum(w * yy * yy).alias("ss"), F.sum(w * (yy - F.col("a")) * (yy - F.col("a"))).alias("e1"), F.sum(w * (yy - F.col("b")) * (yy - F.col("b"))).alias("e2"))
+    rows = df.filter(F.col(y).isNotNull() & F.col(p1).isNotNull() & F.col(p2).isNotNull()).select(F.xxhash64(*df.columns).alias("k"), F.col(y).cast("double").alias("y"), F.col(p1).cast("double").alias("a"), F.col(p2).cast("double").alias("b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((reps, 5))
+        for pdf in batches:
+            keys, v = pdf["k"].to_numpy().view(np.uint64), pdf["y"].to_numpy()
+            terms = np.column_stack([np.ones(len(v)), v, v * v, (v - pdf["a"].to_numpy()) ** 2, (v - pdf["b"].to_numpy()) ** 2])
+            for rep in range(reps):
+                sums[rep] += _poisson_weights(keys, rep, seed) @ terms
+        yield pd.DataFrame(sums, columns=["n", "s", "ss", "e1", "e2"]).assign(rep=range(1, reps + 1))
+
+    parts = rows.mapInPandas(run, "n double, s double, ss double, e1 double, e2 double, rep int")
+    sums = parts.groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "e1", "e2")))
     sst = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
     return sums.select("rep", (1 - F.col("e1") / sst).alias("r2_1"), (1 - F.col("e2") / sst).alias("r2_2"), ((F.col("e2") - F.col("e1")) / sst).alias("difference"))
 

@@ -161,6 +161,10 @@ def test_diebold_mariano_prefers_smaller_errors(spark):
     rows = spark.createDataFrame([(i, float(v), float(v + x / 4), float(v + z / 4)) for i, (v, x, z) in enumerate(zip(y, a, b, strict=True))], "k int, y double, p1 double, p2 double")
     s = evaluate.bootstrap_summary(evaluate.bootstrap_r2(rows, "y", "p2", "p1", 100)).first()
     assert s["low"] > 0 and s["p_value"] < 0.05
+    one, many = (evaluate.bootstrap_r2(rows.repartition(k), "y", "p2", "p1", 20).orderBy("rep").collect() for k in (1, 5))
+    np.testing.assert_allclose(np.array(one), np.array(many))
+    weights = evaluate._poisson_weights(np.arange(100_000, dtype=np.uint64), 1, 42)
+    assert weights.mean() == pytest.approx(1, abs=0.02) and weights.var() == pytest.approx(1, abs=0.03)
 
 
 def test_autocorrelation_and_ljung_box(spark):
