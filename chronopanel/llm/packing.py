@@ -14,12 +14,15 @@ sorts first in ranks; repeated rows are packed each.
 
 from __future__ import annotations
 
+import base64
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import id_and_text, staged, text_or_empty, tune
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 OVERHEAD = 64  # cost of a bin beside its capacity, in tokens
@@ -32,6 +35,30 @@ def byte_tokens(text: Column) -> Column:
     return F.when(n > 0, n + 1).otherwise(0)
 
 
+def vocabulary_tokens(docs: DataFrame, ranks_path: str, pattern: str, max_bytes: int = 8_000_000) -> DataFrame:
+    """doc_id, tokens under a byte-pair vocabulary (a file of base64 tokens and ranks that Spark can read), end of text included.
+
+    The file is read once and broadcast; its size is checked.
+    """
+    spark = docs.sparkSession
+    data = spark.read.format("binaryFile").load(ranks_path).select("length", "content").first()
+    if data["length"] > max_bytes:
+        raise ValueError(f"{ranks_path} has more than {max_bytes} bytes")
+    held = spark.sparkContext.broadcast(bytes(data["content"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for batch in batches:
+            counts = [len(encoding.encode_ordinary(t)) + 1 if t else 0 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "tokens"])
+
+    tune(spark)
+    return id_and_text(docs).mapInArrow(run, "doc_id long, tokens long")
+
+
 def opening(length: int, count: int, shorter: int, capacities: tuple[int, ...], overhead: int) -> int:
     """The capacity of least cost per token: shorter is what pieces below length hold together."""
     best = None

@@ -4,7 +4,8 @@ Each shard has a preference order of all slots of a prime-sized table (offset an
 shards take turns claiming their next free slot until the table is full. The table is as large as its prime, whatever the
 data, so it is broadcast; a row is placed by one hash and one lookup. Adding or removing a shard moves few slots.
 
-Defined cases: a null key has a slot of its own hash; repeated keys go to one shard; an empty table gives no rows.
+Defined cases: a null key has a slot of its own hash; repeated keys go to one shard; columns named slot or shard are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,5 +54,5 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
 
 def place(df: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """df with the columns slot and shard; slots bounds the broadcast."""
-    keyed = df.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+    keyed = df.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
     return keyed.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot")

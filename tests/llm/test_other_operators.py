@@ -83,6 +83,16 @@ def test_packing_matches_sequential_best_fit(spark, sizes):
     assert sum(r["length"] == 0 for r in rows) == sum(not t for t in tokens)
 
 
+def test_tokens_of_a_vocabulary(spark):
+    vocabulary = pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "é" * 500)], "doc_id long, text string")
+    path = vocabulary.path("byte_bpe_50k.tiktoken")
+    got = {r["doc_id"]: r["tokens"] for r in packing.vocabulary_tokens(docs, path, vocabulary.PATTERN).collect()}
+    assert got[1] == 3 and got[2] == got[3] == 0 and got[4] > 10
+    with pytest.raises(ValueError, match="bytes"):
+        packing.vocabulary_tokens(docs, path, vocabulary.PATTERN, 10)
+
+
 def test_packing_edges(spark):
     items = spark.createDataFrame([(None, 5), (1, 10**6), (1, 3), (1, 3)], "doc_id long, tokens long")
     rows = packing.pack(items, (1000, 300)).collect()
@@ -115,6 +125,8 @@ def test_sharding_is_balanced_and_stable(spark, sf):
     keys = spark.createDataFrame([(None, 1), (2, 2), (2, 3)], "doc_id long, x int")
     assert sharding.place(keys, names).count() == 3
     assert sharding.place(keys.limit(0), names).count() == 0
+    clash = keys.selectExpr("*", "'mine' AS shard", "7 AS slot")
+    assert {r["shard"] for r in sharding.place(clash, names).collect()} <= set(names)
     with pytest.raises(ValueError):
         sharding.fill(names, 1000)
 
