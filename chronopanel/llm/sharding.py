@@ -56,3 +56,9 @@ def place(df: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SL
     """df with the columns slot and shard; slots bounds the broadcast."""
     keyed = df.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
     return keyed.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot")
+
+
+def write_shards(df: DataFrame, shards: list[str], path: str, key: str = "doc_id", rows_a_file: int = 1_000_000) -> None:
+    """df as Parquet, a folder a shard; rows are brought together by shard, and large shards are split over tasks."""
+    placed = place(df, shards, key).hint("rebalance", "shard")
+    placed.write.partitionBy("shard").option("maxRecordsPerFile", rows_a_file).parquet(path)

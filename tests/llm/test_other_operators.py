@@ -100,6 +100,13 @@ def test_packing_edges(spark):
     assert packing.pack(items.limit(0)).count() == 0
 
 
+def test_shards_are_written(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    sharding.write_shards(docs, ["a", "b", "c"], str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r["doc_id"], r["shard"]) for r in back.collect()) == sorted((r["doc_id"], r["shard"]) for r in sharding.place(docs, ["a", "b", "c"]).collect())
+
+
 def test_sharding_is_balanced_and_stable(spark, sf):
     names = [f"s{i}" for i in range(7)]
     owner = sharding.fill(names, 1009)
