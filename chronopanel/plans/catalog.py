@@ -547,7 +547,7 @@ def forecast_table(spark, d):
 
 @query()
 def variance_forecast_exact(spark, d):
-    df = _series(spark, d).withColumn("__n", F.row_number().over(features.by_date("series"))).filter("__n <= 160").drop("__n")
+    df = _series(spark, d)
     return rounded(df.groupBy("series").applyInPandas(egarch.exact_forecasts(PRM, 100), "series string, date date, e double, forecast double"))
 
 
@@ -568,21 +568,19 @@ def egarch_by_ticker(spark, d):
     return rounded(egarch.filtered(df, PRM).select("series", "date", F.log("sigma2").alias("log_sigma2"), "z"))
 
 
-def _prio_residuals(spark, d, rows: int) -> DataFrame:
-    df = features.log_returns(panels.panel_prio(spark, d)).select(F.col("ticker").alias("series"), "date", F.col("log_return").alias("e"))
-    return df.withColumn("__n", F.row_number().over(features.by_date("series"))).filter(F.col("__n") <= rows).drop("__n")
+def _prio_residuals(spark, d) -> DataFrame:
+    return features.log_returns(panels.panel_prio(spark, d)).select(F.col("ticker").alias("series"), "date", F.col("log_return").alias("e"))
 
 
 @query()
 def egarch_mle(spark, d):
-    return egarch.best_fit(egarch.fit_rows(_prio_residuals(spark, d, 250), steps=250)).select("series", "dist", "o", "p", "n", "converged", F.round("loglik", 2).alias("loglik"))
+    return egarch.best_fit(egarch.fit_rows(_prio_residuals(spark, d))).select("series", "dist", "o", "p", "n", "converged", F.round("loglik", 2).alias("loglik"))
 
 
 @query()
 def egarch_cv(spark, d):
-    trials = [{"o": 1, "p": 1, "dist": "student", "refit": 63}, {"o": 1, "p": 1, "dist": "student", "refit": 63, "window": "rolling", "size": 100}]
-    one = _prio_residuals(spark, d, 250).filter("series = '1-URGENT'")
-    return egarch.validation_grid(one, trials, steps=80).groupBy("trial").agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("score"), 4).alias("score"))
+    trials = [{"o": 1, "p": 1, "dist": "student", "refit": 63}, {"o": 1, "p": 1, "dist": "student", "refit": 63, "window": "rolling", "size": 500}]
+    return egarch.validation_grid(_series(spark, d), trials, steps=80).groupBy("trial").agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("score"), 4).alias("score"))
 
 
 # Evaluation
@@ -966,9 +964,9 @@ def date_texts(spark, d):
     return panels.table(spark, d, "orders").select("o_orderkey", text.alias("text"), selection.parsed_date(text).alias("day"))
 
 
-@query("SELECT event_id, round(greatest(exp(least(700.0, greatest(-700.0, value - 60))), 1e-10) + 1.3e-9, 6) + 0.0 AS s2 FROM events WHERE value < 75")
+@query("SELECT event_id, round(ln(greatest(exp(least(700.0, greatest(-700.0, value * 20 - 1000))), 1e-10)) + 1.3e-9, 6) + 0.0 AS log_s2 FROM events")
 def bounded_variance(spark, d):
-    return rounded(panels.ticks(spark, d).filter("value < 75").select("event_id", selection.bounded_variance(F.col("value") - 60).alias("s2")))
+    return rounded(panels.ticks(spark, d).select("event_id", F.log(selection.bounded_variance(F.col("value") * 20 - 1000)).alias("log_s2")))
 
 
 @query(S.with_(S.INDEX, S.RESIDUALS, _CENTRED.format("(e * e)"), f"SELECT CAST(lag AS INT) AS lag, {S.r('sk / s0', 'r')}, n, {S.r('1.96 / sqrt(n)', 'band')}, abs(sk / s0) > 1.96 / sqrt(n) AS outside FROM l, s"))
@@ -994,14 +992,14 @@ def model_pairs(spark, d):
 
 @query()
 def egarch_refit_forecast(spark, d):
-    df = splits.split_by_rows(_prio_residuals(spark, d, 220).filter("series = '1-URGENT'"))
-    return rounded(refits.forecasts(df, start=150, every=21, steps=60).select("series", "date", "split", "e", "sigma2", "refit"), 4)
+    df = splits.split_by_rows(_series(spark, d))
+    return rounded(refits.forecasts(df, start=250, every=63, steps=60).select("series", "date", "split", "e", "sigma2", "refit"), 4)
 
 
 @query()
 def egarch_search(spark, d):
-    trials = [t for t in refits.search_space((1,), ("student",), (63,), (100,))]
-    return rounded(refits.search(_prio_residuals(spark, d, 220).filter("series = '1-URGENT'"), trials, 150, 40), 3)
+    trials = refits.search_space((1,), ("student",), (63,), (500,))
+    return rounded(refits.search(_series(spark, d), trials, 250, 40), 3)
 
 
 # Streaming extension
