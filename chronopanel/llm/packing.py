@@ -2,8 +2,8 @@
 
 A best fit of pieces in decreasing length depends on lengths only, so it runs on their histogram: as many numbers as the
 largest capacity, whatever the number of documents. Equal bins are one segment with a multiplicity. Where no open bin
-has room, the size that costs least per token it can be expected to hold is opened (its cost against the pieces that are left
-and fit its rest); finally each bin shrinks to the smallest permitted capacity for its contents. Pieces then find their
+has room, the size that costs least per token it can be expected to hold is opened (a fixed overhead, its capacity and a
+share of its square, against the pieces that are left and fit its rest); finally each bin shrinks to the smallest permitted capacity for its contents. Pieces then find their
 bins by rank within their length, counted in salted parts, so that a hot length is not one task's work.
 
 Documents longer than the largest capacity are cut into pieces of it; no token is dropped.
@@ -26,6 +26,7 @@ from .common import id_and_text, staged, text_or_empty, tune
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 OVERHEAD = 64  # cost of a bin beside its capacity, in tokens
+ATTENTION = 1 / 65536  # cost of attention a squared token of capacity: it favours small bins, the overhead large ones
 SALTS = 32
 
 
@@ -66,7 +67,7 @@ def opening(length: int, count: int, shorter: int, capacities: tuple[int, ...],
         if c >= length:
             own = min(count, c // length) * length
             held = own + min(c - own, shorter)
-            cost = (c + overhead) / held
+            cost = (overhead + c + ATTENTION * c * c) / held
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, c)
     return best[1]
