@@ -175,6 +175,16 @@ def ranked_quantiles(df: DataFrame, value: str) -> DataFrame:
     return ranked(df, value).select("position", value, ((F.col("position") - 0.5) / F.col("n")).alias("probability"))
 
 
+def qq_table(df: DataFrame, value: str, ppf: Callable[[float], float]) -> DataFrame:
+    """ranked_quantiles with the theoretical quantile of each probability, evaluated in Arrow batches."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(theoretical=[ppf(float(p)) for p in pdf["probability"]])
+
+    return ranked_quantiles(df, value).mapInPandas(run, f"position int, {value} double, probability double, theoretical double")
+
+
 def kolmogorov_smirnov(df: DataFrame, value: str, cdf: Callable[[float], float]) -> float:
     """Largest distance of the empirical from the given distribution function; the function is evaluated in Arrow batches."""
 

@@ -79,6 +79,14 @@ def bounded_variance(log_variance: Column) -> Column:
     return F.greatest(F.exp(clamp(log_variance, -LOG_VARIANCE_BOUND, LOG_VARIANCE_BOUND)), F.lit(VARIANCE_FLOOR))
 
 
+def parsed_levels(text: str) -> tuple[float, ...]:
+    """'0.01,0.05' as distinct ascending levels between 0 and 1."""
+    levels = sorted({float(x) for x in text.split(",") if x.strip()})
+    if not levels or not all(0 < x < 1 for x in levels):
+        raise ValueError(f"{text!r} is no list of levels")
+    return tuple(levels)
+
+
 def correlation_bands(acf: DataFrame) -> DataFrame:
     """Lags with a 95 % band and whether they leave it."""
     band = F.lit(1.96) / F.sqrt("n")

@@ -780,6 +780,12 @@ def qq_positions(spark, d):
     return rounded(diagnostics.ranked_quantiles(_residuals(spark, d), "e"))
 
 
+@query()
+def qq_student(spark, d):
+    z = egarch.filtered(_series(spark, d), PRM)
+    return rounded(diagnostics.qq_table(z, "z", lambda p: special.t_ppf(p, PRM.nu)))
+
+
 @query()
 def kolmogorov_smirnov(spark, d):
     z = egarch.filtered(_series(spark, d), PRM)

@@ -212,6 +212,8 @@ def test_normality_and_distance(spark):
     assert r["anderson_darling"] < 1.2 and r["shapiro_francia"] > 0.98
     assert diagnostics.normality(df.limit(2)).first()["anderson_darling"] is None
     assert diagnostics.kolmogorov_smirnov(df, "value", special.normal_cdf) < 0.1
+    qq = diagnostics.qq_table(df, "value", special.normal_ppf).orderBy("position").collect()
+    assert np.corrcoef([r["value"] for r in qq], [r["theoretical"] for r in qq])[0, 1] > 0.98
     z = pd.Series(noise(300))
     m = diagnostics.moments(df, "value").first()
     assert (m["mean"], m["variance"]) == (pytest.approx(z.mean()), pytest.approx(z.var(ddof=0)))

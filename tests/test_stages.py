@@ -37,6 +37,10 @@ def test_selections(spark, days):
     assert selection.ordered_output(days).first()["split"] == "train"
     assert [r["v"] for r in selection.top(days, "v", 3).collect()] == sorted((r["v"] for r in days.collect()), reverse=True)[:3]
     assert sorted(selection.plotting_sample(days, 20).collect()) == sorted(selection.plotting_sample(days.repartition(5), 20).collect())
+    assert selection.parsed_levels("0.05, 0.01,0.05") == (0.01, 0.05)
+    for bad in ("", "2", "0"):
+        with pytest.raises(ValueError, match="levels"):
+            selection.parsed_levels(bad)
     text = spark.createDataFrame([("2020-02-03",), ("2020/02/03",), ("03.02.2020",), ("nonsense",), (None,)], "t string")
     assert [r[0] for r in text.select(selection.parsed_date(F.col("t"))).collect()] == [dt.date(2020, 2, 3)] * 3 + [None] * 2
     bounds = spark.createDataFrame([(1e6,), (-1e6,), (0.0,)], "x double").select(selection.bounded_variance(F.col("x"))).collect()
