@@ -3,7 +3,8 @@
 Training documents are cut into overlapping passages twice as long as the longest item part, so each item fits into one.
 Every passage is a query against the index and everything at or above its item's threshold (a share of the score that the item has
 against itself) is retrieved: bounds of the items, summed for a whole batch of passages at once from their essential terms,
-discard passages that cannot reach any item's threshold; the rest go through block-max WAND, item at a time. A hit counts when
+discard passages that cannot reach any item's threshold; the rest go through block-max WAND, item at a time. An item of
+which a document holds the longer of question and answer by shingles, wherever the rest is, is retrieved too. A hit counts when
 the five-word shingles of the item's question and of its answer are contained in the document at MIN_OVERLAP or more.
 
 An index holds SHARD_WORDS words of the benchmark at most and is broadcast; a larger benchmark is split into as many as needed,
@@ -57,6 +58,15 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n terms in a row."""
+    out = np.zeros(len(ids) - n + 1, np.uint64)
+    for k in range(n):
+        out = (out ^ ids[k : k + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
 class Index:
     """Impacts by term of item parts (at most PART_WORDS words each), in blocks of BLOCK parts."""
 
@@ -88,6 +98,42 @@ class Index:
                 own[p] += impact
         self.threshold = MIN_SHARE * own
         self._blocks(n)
+        self._direct()
+
+    def _direct(self) -> None:
+        """Hashes of the shingles of each item's longer part, by shingle length, with the items (by position) that have them."""
+        self.items = list(self.checks)
+        longer = [max(self.checks[i], key=len) for i in self.items]
+        self.enough = np.array([MIN_OVERLAP * len(s) for s in longer])
+        rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, s in enumerate(longer):
+            for g in s:
+                rows[len(g)].append((int(grams(np.array([self.terms[w] for w in g], np.int64), len(g))[0]), k))
+        self.direct = {n: tuple(np.array(c) for c in zip(*sorted(r), strict=True)) for n, r in rows.items()}
+
+    def held_by(self, ids: np.ndarray) -> list[int]:
+        """Items whose longer part a document holds; ids: the terms of its words."""
+        found = []
+        for n, (keys, owner) in self.direct.items():
+            if len(ids) >= n:
+                there = np.unique(grams(ids, n)[np.lib.stride_tricks.sliding_window_view(ids, n).min(axis=1) >= 0])
+                at = np.searchsorted(there, keys)
+                hit = owner[(at < len(there)) & (there[np.minimum(at, len(there) - 1)] == keys)] if len(there) else owner[:0]
+                count = np.bincount(hit, minlength=len(self.items))
+                found += [self.items[k] for k in np.flatnonzero((count > 0) & (count >= self.enough - 1e-9))]
+        return found
+
+    def best_score(self, item: int, ids: np.ndarray) -> float:
+        """The best score of a part of the item in a passage."""
+        mine, best = {p for p, (i, _) in enumerate(self.parts) if i == item}, 0.0
+        for a in range(0, len(ids), self.longest):
+            score: Counter = Counter()
+            for t in set(ids[a : a + 2 * self.longest].tolist()) - {-1}:
+                for p, impact in self.postings[t]:
+                    if p in mine:
+                        score[p] += impact
+            best = max([best, *score.values()])
+        return best
 
     def _blocks(self, n: int) -> None:
         """Block maxima of all terms, essential terms, and the sum that each part needs of them.
@@ -201,7 +247,12 @@ class Index:
             for part, score in self.wand(set(ids[ids >= 0].tolist())):
                 item = self.parts[part][0]
                 found[d][item] = max(score, found[d].get(item, 0.0))
-        return [self._verified(docs[d][0], f) if f else [] for d, f in enumerate(found)]
+        out = []
+        for (words, ids), f in zip(docs, found, strict=True):
+            more = {i: 0.0 for i in self.held_by(ids) if i not in f}
+            got = self._verified(words, f | more) if f or more else []
+            out.append([(i, s if i in f else self.best_score(i, ids)) for i, s in got])
+        return out
 
     def _verified(self, words: list[str], found: dict[int, float]) -> list[tuple[int, float]]:
         wanted: dict[int, set] = defaultdict(set)
