@@ -129,7 +129,7 @@ def features(text: str, lexicon: Lexicon, machine: Composed) -> tuple[float, flo
         if i <= done:
             continue
         lo = i
-        while lo > 0 and words[lo - 1] not in CLAUSE_END and i - lo < 40:
+        while lo > 0 and words[lo - 1] not in CLAUSE_END:
             lo -= 1
         hi = i
         state, score = machine.start, 0.0
