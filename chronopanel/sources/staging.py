@@ -13,11 +13,14 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """This application's folder below spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        base = base or tempfile.mkdtemp(prefix="chronopanel-")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="chronopanel-")
         _ROOTS[app] = f"{base.rstrip('/')}/chronopanel-{app}"
         atexit.register(release, spark)
     return _ROOTS[app]
