@@ -8,10 +8,13 @@ which a document holds the longer of question and answer by shingles, wherever t
 the five-word shingles of the item's question and of its answer are contained in the document at MIN_OVERLAP or more.
 
 An index holds SHARD_WORDS words of the benchmark at most and is broadcast; a larger benchmark is split into as many as needed,
-which the documents pass one after the other.
+which the documents pass one after the other. Document frequencies, mean length and passage width are those of the whole benchmark,
+so scores, thresholds and results do not depend on the split.
 
 Defined cases: null texts are empty and match nothing; items without words are ignored; items of fewer than five words count as
-one shingle; items with equal texts are all reported; repeated rows each have a result.
+one shingle; items with equal texts are all reported, and of items with equal ids each text counts; a null item_id is reported as null,
+after the others; repeated rows each have a result; whole texts are searched, however long; clean keeps all columns whatever their names;
+no items leave every document clean, no documents give no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged, text_or_empty, tune
+from .common import id_and_text, kept_by_text, staged, text_or_empty, tune
 
 K1, B = 1.2, 0.75
 SHINGLE, MIN_OVERLAP = 5, 0.8
@@ -67,43 +71,63 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parts_of(words: list[str]) -> list[list[str]]:
+    return [words[i : i + PART_WORDS] for i in range(0, len(words), PART_WORDS)]
+
+
+class Statistics(NamedTuple):
+    """Of all parts of a benchmark: their number, words and greatest length, and in how many of them a term is."""
+
+    parts: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, parts: list[list[str]]) -> "Statistics":
+        return cls(len(parts), sum(map(len, parts)), max(map(len, parts), default=0), Counter(t for w in parts for t in set(w)))
+
+
 class Index:
-    """Impacts by term of item parts (at most PART_WORDS words each), in blocks of BLOCK parts."""
+    """Impacts by term of item parts (at most PART_WORDS words each), in blocks of BLOCK parts. Items are told apart by position.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    whole: statistics of the whole benchmark, where items are only some of it.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], whole: Statistics | None = None):
         self.parts: list[tuple[int, list[str]]] = []
-        self.checks: dict[int, tuple[set, set]] = {}
-        for item, text in sorted((i, t or "") for i, t in items):
+        self.checks: list[tuple[set, set]] = []
+        self.ids: list[int | None] = []
+        for item, text in sorted(((i, t or "") for i, t in items), key=lambda x: (x[0] is None, x)):
             words = words_of(text)
             if words:
                 q, a = question_and_answer(text)
-                self.checks[item] = (shingles(q), shingles(a))
-                self.parts += [(item, words[i : i + PART_WORDS]) for i in range(0, len(words), PART_WORDS)]
-        n = len(self.parts)
-        self.longest = max((len(w) for _, w in self.parts), default=0)
-        mean = sum(len(w) for _, w in self.parts) / max(n, 1)
+                self.parts += [(len(self.ids), w) for w in parts_of(words)]
+                self.checks.append((shingles(q), shingles(a)))
+                self.ids.append(item)
+        whole = whole or Statistics.of([w for _, w in self.parts])
+        n, self.longest, df = whole.parts, whole.longest, whole.df
+        mean = whole.words / max(n, 1)
         tf = [Counter(w) for _, w in self.parts]
-        df = Counter(t for c in tf for t in c)
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
+        self.terms = {t: k for k, t in enumerate(sorted({t for c in tf for t in c}))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for p, c in enumerate(tf):
             norm = K1 * (1 - B + B * len(self.parts[p][1]) / mean)
             for t, f in c.items():
                 idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
                 self.postings[self.terms[t]].append((p, idf * f * (K1 + 1) / (f + norm)))
-        own = np.zeros(n)
+        own = np.zeros(len(self.parts))
         for plist in self.postings:
             plist.sort()
             for p, impact in plist:
                 own[p] += impact
         self.threshold = MIN_SHARE * own
-        self._blocks(n)
+        self._blocks(len(self.parts))
         self._direct()
 
     def _direct(self) -> None:
         """Hashes of the shingles of each item's longer part, by shingle length, with the items (by position) that have them."""
-        self.items = list(self.checks)
-        longer = [max(self.checks[i], key=len) for i in self.items]
+        longer = [max(c, key=len) for c in self.checks]
         self.enough = np.array([MIN_OVERLAP * len(s) for s in longer])
         rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, s in enumerate(longer):
@@ -112,15 +136,15 @@ class Index:
         self.direct = {n: tuple(np.array(c) for c in zip(*sorted(r), strict=True)) for n, r in rows.items()}
 
     def held_by(self, ids: np.ndarray) -> list[int]:
-        """Items whose longer part a document holds; ids: the terms of its words."""
+        """Items (by position) whose longer part a document holds; ids: the terms of its words."""
         found = []
         for n, (keys, owner) in self.direct.items():
             if len(ids) >= n:
                 there = np.unique(grams(ids, n)[np.lib.stride_tricks.sliding_window_view(ids, n).min(axis=1) >= 0])
                 at = np.searchsorted(there, keys)
                 hit = owner[(at < len(there)) & (there[np.minimum(at, len(there) - 1)] == keys)] if len(there) else owner[:0]
-                count = np.bincount(hit, minlength=len(self.items))
-                found += [self.items[k] for k in np.flatnonzero((count > 0) & (count >= self.enough - 1e-9))]
+                count = np.bincount(hit, minlength=len(self.ids))
+                found += np.flatnonzero((count > 0) & (count >= self.enough - 1e-9)).tolist()
         return found
 
     def best_score(self, item: int, ids: np.ndarray) -> float:
@@ -217,8 +241,8 @@ class Index:
                         del live[t]
         return out
 
-    def search(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
-        """Of each text, the items that it contains with the best BM25 score, by item."""
+    def search(self, texts: list[str | None]) -> list[list[tuple[int | None, float]]]:
+        """Of each text, the ids of the items that it contains with the best BM25 score, by id."""
         found: list[dict[int, float]] = [{} for _ in texts]
         if not self.parts:
             return [[] for _ in texts]
@@ -251,7 +275,11 @@ class Index:
         for (words, ids), f in zip(docs, found, strict=True):
             more = {i: 0.0 for i in self.held_by(ids) if i not in f}
             got = self._verified(words, f | more) if f or more else []
-            out.append([(i, s if i in f else self.best_score(i, ids)) for i, s in got])
+            best: dict[int | None, float] = {}
+            for i, s in got:
+                s = s if i in f else self.best_score(i, ids)
+                best[self.ids[i]] = max(s, best.get(self.ids[i], 0.0))
+            out.append(list(best.items()))
         return out
 
     def _verified(self, words: list[str], found: dict[int, float]) -> list[tuple[int, float]]:
@@ -264,17 +292,49 @@ class Index:
         return [(i, found[i]) for i in sorted(found) if all(map(good, self.checks[i]))]
 
 
-def indexes(benchmark: DataFrame, words: int = SHARD_WORDS) -> Iterator[Index]:
-    """One index after the other, each of about so many words of the benchmark at most (or one item)."""
+def statistics(benchmark: DataFrame) -> DataFrame:
+    """(term, parts, words, longest) of the parts of all items: sums by term, and of the parts themselves where term is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Statistics.of([w for t in batch.column(0).to_pylist() for w in parts_of(words_of(t))])
+            none = [None] * len(s.df)
+            columns = [[None, *s.df], [s.parts, *s.df.values()], [s.words, *none], [s.longest, *none]]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["term", "parts", "words", "longest"])
+
+    counts = benchmark.select("text").mapInArrow(run, "term string, parts long, words long, longest long")
+    return staged(counts.groupBy("term").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "items-terms")
+
+
+def shares(benchmark: DataFrame, words: int = SHARD_WORDS) -> Iterator[list[tuple[int | None, str]]]:
+    """Items, one share after the other, each of about so many words of the benchmark at most (or one item)."""
     rows, size = [], 0
-    for r in benchmark.filter("item_id is not null").select("item_id", text_or_empty().alias("text")).orderBy("item_id").toLocalIterator():
+    for r in benchmark.select("item_id", text_or_empty().alias("text")).orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1]) // 5 + 1
         if size >= words:
-            yield Index(rows)
+            yield rows
             rows, size = [], 0
     if rows:
-        yield Index(rows)
+        yield rows
+
+
+def indexes(benchmark: DataFrame, words: int = SHARD_WORDS) -> Iterator[Index]:
+    """An index a share; the statistics of a share's terms are looked up among those of the whole benchmark."""
+    spark, found, sums = benchmark.sparkSession, shares(benchmark, words), None
+    now = next(found, None)
+    while now is not None:
+        after = next(found, None)
+        if after is None and sums is None:
+            yield Index(now)
+            return
+        sums = statistics(benchmark) if sums is None else sums
+        terms = spark.createDataFrame([(t,) for t in sorted({t for _, x in now for t in words_of(x)})], "term string")
+        df = {r["term"]: r["parts"] for r in sums.join(F.broadcast(terms), "term").collect()}  # both bounded by the share's words
+        total = sums.filter("term is null").first()
+        yield Index(now, Statistics(total["parts"], total["words"], total["longest"], df))
+        now = after
 
 
 def _passes(df: DataFrame, benchmark: DataFrame, words: int, one: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
@@ -300,7 +360,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = SHARD_WORDS) ->
             for batch in batches:
                 before, best, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), [[], []]
                 for items, score, found in zip(before, best, index.value.search(batch.column(3).to_pylist()), strict=True):
-                    out[0].append(sorted({*items, *(i for i, _ in found)}) if found else items)
+                    out[0].append(sorted({*items, *(i for i, _ in found)}, key=lambda i: (i is None, i)) if found else items)
                     out[1].append(max([s for _, s in found] + ([] if score is None else [score]), default=None))
                 columns = [batch.column(0), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([] if last else [batch.column(3)])], names=["doc_id", "item_ids", "best_score", *([] if last else ["text"])])
@@ -314,14 +374,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = SHARD_WORDS) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = SHARD_WORDS) -> DataFrame:
     """The rows of docs without any item, with all their columns; a pass an index."""
-    at = docs.columns.index("text")
-
-    def one(df: DataFrame, index: Broadcast, last: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not f for f in index.value.search(batch.column(at).to_pylist())], pa.bool_()))
-
-        return df.mapInArrow(run, docs.schema)
-
     tune(docs.sparkSession)
-    return _passes(docs, benchmark, words, one)
+    return _passes(docs, benchmark, words, lambda df, index, last: kept_by_text(df, lambda texts: [not f for f in index.value.search(texts)]))

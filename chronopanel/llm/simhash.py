@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_copies, id_and_text, staged, text_or_empty, tune
+from .common import id_and_text, only_of_one, staged, tune
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -244,8 +244,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component one row with the smallest doc_id (of rows that share that
     id, the one whose text has the smallest hash). found: doc_id, row, root, component_id of every row, else those of this module."""
-    none = F.lit(-(2**63))
-    first = (classes(docs) if found is None else found).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("__id"), F.col("row").alias("__row"))).alias("k"))
-    kept = first.select("k.*").distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__row", F.xxhash64(text_or_empty()))
-    return first_of_copies(keyed.join(kept, ["__id", "__row"]), "__id", "__row").select(*docs.columns)
+    rows = classes(docs) if found is None else found
+    first = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("k"))
+    return only_of_one(docs, first.select("k.*").distinct())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged, text_or_empty, tune
+from .common import id_and_text, kept_by_text, staged, text_or_empty, tune
 
 FIT_ROWS = 4000
 MAX_STEMS = 4000
@@ -252,11 +252,5 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns, in one pass."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
-
     tune(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return kept_by_text(docs, lambda texts: [model.score(t or "") < threshold for t in texts])

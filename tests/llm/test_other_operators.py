@@ -184,7 +184,8 @@ def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from chronopanel.llm import decontaminate, toxicity
     from chronopanel.llm.common import table
-    from tests.llm.test_text_operators import brute_components, brute_fingerprint, brute_matches
+    from tests.llm.test_near_copies import brute_kept
+    from tests.llm.test_text_operators import brute_matches
 
     docs = table(spark, sf, "documents")
     model = toxicity.fit(docs, table(spark, sf, "labels"))
@@ -196,8 +197,7 @@ def test_pipeline(spark, sf):
         seen.setdefault(" ".join("\x00" if not x else x for x in __import__("re").split("[\x20\x09-\x0d]+", rows[i])), i)
     rows = {i: rows[i] for i in seen.values()}
     ids = sorted(rows)
-    comp = brute_components(ids, [brute_fingerprint(rows[i]) for i in ids])
-    rows = {i: rows[i] for i, c in zip(ids, comp, strict=True) if i == c}
+    rows = {ids[k]: rows[ids[k]] for k in brute_kept([rows[i] for i in ids])}
     rows = {i: t for i, t in rows.items() if not brute_matches(t, items)}
     got = corpus_pipeline.run(spark, sf)
     sizes = Counter()

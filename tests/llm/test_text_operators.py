@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from chronopanel.llm import decontaminate, exact_dedup, pii, queries, repeats, simhash, toxicity
 
@@ -197,19 +198,48 @@ def test_components_of_a_chain(spark):
     assert all(roots[i] == 0 for i in range(1, 41)) and roots[200] == 100
 
 
-def test_exact_dedup_edges(spark):
+@pytest.mark.parametrize("hot_rows", [1, 2, 16_384])
+def test_exact_dedup_edges(spark, hot_rows):
     docs = docs_of(spark, EDGE, ids=[4, 5, 6, None, 8, 9, 9, 2])
-    rows = exact_dedup.classes(docs, salts=4).collect()
+    rows = exact_dedup.classes(docs, hot_rows).collect()
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows)
     assert got == Counter([(4, 4, 2, True), (5, 4, 2, False), (6, 6, 1, True), (None, None, 1, True), (8, 8, 1, True), (9, 2, 3, False), (9, 2, 3, False), (2, 2, 3, True)])
-    kept = exact_dedup.deduplicated(docs)
+    kept = exact_dedup.deduplicated(docs, hot_rows)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 4, 6, 8]
-    assert exact_dedup.classes(docs.limit(0)).count() == 0
-    twice = docs_of(spark, ["t", "t"], ids=[1, 1])
-    assert exact_dedup.deduplicated(twice).count() == 1
-    plan = exact_dedup.sorted_runs(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning" not in plan and "Python" not in plan
+    assert exact_dedup.classes(docs.limit(0), hot_rows).count() == 0
+    assert exact_dedup.deduplicated(docs.limit(0), hot_rows).count() == 0
+    twice = docs_of(spark, ["t", "t", "u"], ids=[1, 1, None])
+    assert exact_dedup.deduplicated(twice, hot_rows).count() == 2
+    assert sorted(r["kept"] for r in exact_dedup.classes(twice, hot_rows).collect()) == [False, True, True]
+
+
+def test_exact_dedup_meets_every_copy_as_a_neighbour(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000_000)).repartition(16)
+    copies = docs.count() - docs.select(exact_dedup.normalised(F.coalesce("text", F.lit("")))).distinct().count()
+    ordinary, hot = exact_dedup._split(docs, exact_dedup.HOT_ROWS)
+    assert hot is None and ordinary.filter("not opens").count() == copies > docs.count() // 2 - 1
+    plan = ordinary._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "hashpartitioning" not in plan and "Python" not in plan
+    for hot_rows in (1, 3):
+        got = exact_dedup.classes(docs, hot_rows)
+        want = exact_dedup.classes(docs)
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+        assert sorted(r[0] for r in exact_dedup.deduplicated(docs, hot_rows).select("doc_id").collect()) == sorted(r[0] for r in want.filter("kept").select("doc_id").collect())
+
+
+CLASHES = ["__copy", "__id", "__row", "__sha", "row", "norm", "salt", "head", "h", "run", "opens", "id", "hash", "n", "whole", "a.b"]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = docs_of(spark, ["same text", "same  text", "other"], ids=[3, 1, 2])
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(c))
+    items = spark.createDataFrame([(1, "no such words. anywhere in here.")], "item_id long, text string")
+    for out in (exact_dedup.deduplicated(docs), exact_dedup.deduplicated(docs, 1), simhash.one_of_each(docs), decontaminate.clean(docs.filter("doc_id < 3"), items)):
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"], r["a.b"], r["__copy"]) for r in out.collect()) == [(1, "a.b", "__copy"), (2, "a.b", "__copy")]
 
 
 def brute_matches(text, items):
@@ -357,3 +387,19 @@ def test_toxicity_edges(spark):
     kept = toxicity.clean(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(EDGE)
     assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+def test_pii_long_digit_runs():
+    import time
+
+    start = time.monotonic()
+    run = "1" * 1_000_000
+    for text in (f"{run}.{run}", f"{run}.5 1.2.3.4", f"{run}.{run}.{run}", f"+{run}", "1." * 300_000, "+1" + "(" * 500_000):
+        pii.base_spans(text)
+    assert time.monotonic() - start < 10
+    assert pii.base_spans(f"{run}.5 1.2.3.4")[0] == ("ip", 1_000_003, 1_000_010)
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices("12.", weights=[3, 2, 4], k=rng.randint(1, 40)))
+        found = [("ip", *m.span()) for m in re.finditer(PATTERNS["ip"], text) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert [x for x in pii.base_spans(text) if x[0] == "ip"] == found
