@@ -60,7 +60,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+    return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
