@@ -1,17 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens become classes (insult, threat verb, intent, second-person target, negation, reporting verb, other). Five small
-weighted transducers rewrite classes from left to right and are composed into one machine: negation weakens an insult in
-its scope, reported speech weakens what is quoted, a target strengthens an insult near it, an intent and a threat verb
-make a threat, and the insult machine emits weights. The machine runs over clauses that hold an insult or threat;
-a document's score is a logistic function of its matched clauses' weights, never of words alone, language or source.
+Tokens become classes (insult, threat verb, intent, second-person target, negation, reporting verb, other). Weighted transducers
+rewrite the classes of a clause from left to right and are composed into one machine:
+
+- negation: an insult or threat verb up to three tokens after it is weakened;
+- reported speech: all that follows a reporting verb in its clause is weakened, negated or not;
+- target: an insult or threat verb up to four tokens after a target is a directed one; a target up to four tokens after an insult or
+  threat that was not directed before makes up for it;
+- threat: an intent and up to three tokens later a threat verb are a threat; a threat verb alone is none;
+- insult: accepts directed and negated insults, threats, and a second insult of a clause in full, a lone undirected insult at half weight.
+
+The machine runs over whole clauses that hold an insult or threat verb; a document's score is a logistic function of its matched
+clauses' weights, never of words alone, language or source.
 
 The insult lexicon has seed stems and stems learned from labelled rows: word beginnings that occur in more toxic than clean
 documents, weighted by log odds. Lexicon and logistic function are fitted on at most FIT_ROWS rows of either label (those
-with the smallest hashes); counts are summed on the executors, only the kept stems and four numbers a row reach the driver.
+with the smallest hashes), which bounds the lexicon; counts are summed on the executors, only the kept stems and four numbers a row
+reach the driver.
 
 Defined cases: a null or empty text has no clause and the intercept's score; a null doc_id is never a fitting row; repeated
-labels of a document count as toxic if any is; no labels at all give the seed lexicon and default coefficients.
+labels of a document count as toxic if any is; repeated rows score alike; whole texts are read, however long; no labels at all give the
+seed lexicon and default coefficients; no documents give no rows; scored ignores other columns, clean keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import id_and_text, kept_by_text, staged, text_or_empty, tune
 
 FIT_ROWS = 4000
-MAX_STEMS = 4000
 MIN_SUPPORT = 4
 MIN_LOG_ODDS = 1.8
 THRESHOLD = 0.3
+THREAT_WEIGHT = 1.5
 SHORT, LONG = 4, 9  # letters of a stem; a whole word counts as a stem of its own
 
 SEEDS = {w: 3.0 for w in "idiot moron stupid scum trash loser worthless pathetic disgusting clown imbecile idiota imbécile crétin dummkopf abschaum estúpido basura".split()}
@@ -78,24 +87,26 @@ class Composed:
         return got
 
 
-def _countdown(trigger: str, scope: int, effect: dict[str, tuple[str, float]]) -> Transducer:
-    """After trigger, for scope tokens, classes in effect are rewritten and weighted."""
-    arcs = {(s, trigger): (scope, trigger, 1.0) for s in range(scope + 1)}
+def _countdown(triggers: str, scope: int, effect: dict[str, tuple[str, float]], once: bool = False) -> Transducer:
+    """After a trigger, for scope tokens, classes in effect are rewritten and weighted; once: the first of them ends the scope."""
+    arcs = {(s, t): (scope, t, 1.0) for s in range(scope + 1) for t in triggers}
     for s in range(1, scope + 1):
-        arcs |= {(s, k): (s - 1, out, w) for k, (out, w) in effect.items()}
+        arcs |= {(s, k): (0 if once else s - 1, out, w) for k, (out, w) in effect.items()}
         arcs[s, "*"] = (s - 1, "*", 1.0)
     return Transducer(arcs)
 
 
+BARE = 0.5
 NEGATION = _countdown("N", 3, {"I": ("i", 0.25), "T": ("t", 0.25)})
-REPORTED = Transducer({(0, "R"): (1, "R", 1.0), (1, "I"): (1, "I", 0.6), (1, "T"): (1, "T", 0.6)})
-TARGET = _countdown("U", 4, {"I": ("I", 1.5), "T": ("T", 1.5)})
-THREAT = _countdown("M", 3, {"T": ("H", 2.0), "t": ("t", 0.5)})
-INSULT = Transducer({(0, "I"): (0, "!", 1.0), (0, "i"): (0, "!", 1.0), (0, "H"): (0, "!", 1.0)})
+REPORTED = Transducer({(0, "R"): (1, "R", 1.0), **{(1, k): (1, k, 0.6) for k in "IiTt"}})
+TARGET_BEFORE = _countdown("U", 4, {"I": ("J", 1.5), "T": ("D", 1.5)})
+THREAT = _countdown("M", 3, {"T": ("H", 2.0), "D": ("K", 2.0)})
+TARGET_AFTER = _countdown("IH", 4, {"U": ("+", 1.0)}, once=True)  # adds as much again as the insult or threat has got
+INSULT = Transducer({(0, "I"): (1, "!", BARE), (1, "I"): (1, "!", 1.0), **{(s, k): (1 if k in "iJ" else s, "!", 1.0) for s in (0, 1) for k in "iJHK"}})
 
 
 def grammar() -> Composed:
-    return Composed([NEGATION, REPORTED, TARGET, THREAT, INSULT])
+    return Composed([NEGATION, REPORTED, TARGET_BEFORE, THREAT, TARGET_AFTER, INSULT])
 
 
 def stems_of(word: str) -> list[str]:
@@ -131,17 +142,18 @@ def features(text: str, lexicon: Lexicon, machine: Composed) -> tuple[float, flo
         lo = i
         while lo > 0 and words[lo - 1] not in CLAUSE_END:
             lo -= 1
-        hi = i
-        state, score = machine.start, 0.0
-        for hi in range(lo, len(words)):
-            if words[hi] in CLAUSE_END:
+        state, score, last, done = machine.start, 0.0, 0.0, len(words)
+        for k in range(lo, len(words)):
+            if words[k] in CLAUSE_END:
+                done = k
                 break
-            own = weights.get(hi, 0.0) if hi > done else 0.0
-            symbol = "I" if own else threats.get(words[hi], "*")
-            state, out, w = machine.step(state, symbol)
+            own = weights.get(k, 0.0)
+            state, out, w = machine.step(state, "I" if own else threats.get(words[k], "*"))
             if out == "!":
-                score += w * (own or 1.5)
-        done = hi
+                last = w * (own or THREAT_WEIGHT)
+                score += last
+            elif out == "+":
+                score += w * last
         total += score
         top = max(top, score)
     return math.log1p(total), top, 30.0 * total / (len(words) + 30)
@@ -205,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     stems = sample.mapInArrow(_count_stems, "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") >= MIN_SUPPORT)
-    kept = stems.withColumn("w", odds).filter((F.col("w") >= MIN_LOG_ODDS) & (F.col("w") > 2.5 * spread)).orderBy(F.desc(F.col("w") / spread), "stem").limit(MAX_STEMS)
+    kept = stems.withColumn("w", odds).filter((F.col("w") >= MIN_LOG_ODDS) & (F.col("w") > 2.5 * spread)).orderBy(F.desc(F.col("w") / spread), "stem")
     weights = {f"{k}$": v for k, v in SEEDS.items()} | {r["stem"]: float(r["w"]) for r in kept.select("stem", "w").collect()}
     model = Model(weights, [0.0, 0.0, 0.0, 0.0])
     rows_of = sample.mapInArrow(_featurise(model), "f1 double, f2 double, f3 double, toxic int").collect()
