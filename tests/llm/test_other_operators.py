@@ -13,7 +13,7 @@ from chronopanel.llm import chat, packing, queries, sharding, warc
 
 def test_warc_roundtrip_edges(spark, tmp_path):
     big = "x" * 1500
-    rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://c", big), (4, "d", None), (5, "e", ""), (6, "f", "tiny"), (7, "g", "tiny"), (None, "h", big), (3, "http://c", big), (8, "i", "é\r\n\r\nWARC/1.1\r\n" + "y" * 1200)]
+    rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://c", big), (4, "d", None), (5, "e", ""), (6, "tab\t", "tiny"), (7, "g", "tiny"), (None, "h", big), (3, "http://c", big), (8, "i", "é\r\n\r\nWARC/1.1\r\n" + "y" * 1200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.roundtrip(pages).collect())
     want = [(1, 1500, "revisit", 3), (2, 1500, "revisit", 3), (3, 1500, "response", None), (3, 1500, "response", None), (None, 1500, "response", None)]
@@ -21,8 +21,9 @@ def test_warc_roundtrip_edges(spark, tmp_path):
     assert got == Counter(want)
     assert warc.roundtrip(pages.limit(0)).count() == 0
     path = warc.write_archives(pages, str(tmp_path / "w"))
-    records = [r for p in sorted((tmp_path / "w").glob("part-*")) for r in warc.parse_records(gzip.decompress(p.read_bytes()))]
-    assert len(records) == len(rows)
+    records = [r for p in sorted((tmp_path / "w").glob("part-*")) for r in warc.parse_records(gzip.open(p))]
+    assert len(records) == len(rows) == len({f["warc-record-id"] for f, _ in records})
+    assert {f["warc-target-uri"] for f, _ in records} >= {"http://a/%0D%0AX:%20y", "urn:page:2", "tab%09"}
     for fields, block in records:
         payload = block.partition(b"\r\n\r\n")[2]
         if fields["warc-type"] == "response":
@@ -34,6 +35,14 @@ def test_warc_roundtrip_edges(spark, tmp_path):
     assert path
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id as page_id", "'http://x' as url", "concat(id, repeat('y', 20000)) as html", "1 as copy", "2 as digest")
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=1_000_000)
+    sizes = [len(gzip.open(p).read()) for p in (tmp_path / "w").glob("part-*")]
+    assert sum(sizes) > 6_000_000 and max(sizes) < 2_500_000 and len(sizes) >= 6
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 300
+
+
 def brute_best_fit(lengths, capacities, overhead):
     """One piece at a time, with the same opening rule."""
     left = Counter(lengths)
