@@ -1,8 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust a score.
 
 The base kinds (email, ip, card, phone) are leftmost non-overlapping matches that pass their validator; they always stay.
-The method adds international bank account numbers (mod 97) and social security numbers, which need a score of at least
-MIN_SCORE: a validated pattern starts higher than one without a checksum, and words of its kind nearby raise it.
+The method adds international bank account numbers (mod 97), social security numbers and secrets (long runs of mixed letters and
+digits), which need a score of at least MIN_SCORE: a pattern with a checksum starts higher than one without, and words of its kind
+nearby raise it. So a number that only looks like a social security number, or a long identifier, needs such a word.
 
 Defined cases: a null text is empty and has no span; positions are code points with exclusive ends; repeated rows each
 have a result; an empty table gives no rows; texts are searched whole, in time in proportion to their length; extra columns are
@@ -12,7 +13,9 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +31,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*$")
+SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 CONTEXT = {
     "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -39,9 +42,10 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile"),
     "iban": ("iban", "bank", "account", "konto"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "key", "password", "passwd", "credential", "bearer"),
 }
 #: Of a span that its validator confirmed (or that has none), before its context.
-START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 NEAR, PER_WORD, MIN_SCORE = 40, 0.2, 0.6
 
 
@@ -60,6 +64,12 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def random_looking(run: str) -> bool:
+    """Letters and digits mixed, of at least three bits a character."""
+    n = len(run)
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and -sum(k / n * math.log2(k / n) for k in Counter(run).values()) >= 3.0
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """EMAIL's matches, found from the at signs: trying the pattern at each place of a long word is quadratic."""
     done, at = 0, text.find("@")
@@ -96,6 +106,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m.group())]
     found += [("ssn", *m.span()) for m in SSN.finditer(text) if m.group()[:3] not in ("000", "666") and m.group()[0] != "9"]
+    found += [("secret", *m.span()) for m in SECRET.finditer(text) if random_looking(m.group())]
     return [x for x in found if span_score(text, *x) >= MIN_SCORE]
 
 
@@ -121,11 +132,12 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from spans(): counts and hash of the base kinds, and all spans as text."""
+    """The contract's columns from spans(): counts and hash of the base kinds, all spans as text, and how many the method added."""
     text = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    added = F.size(F.filter("spans", lambda s: s["kind"].isin(*ADDED))).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), added)
 
 
 def sha256_of(spans_text: str) -> str:

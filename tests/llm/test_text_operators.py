@@ -347,13 +347,14 @@ def test_pii_on_table(spark, sf):
 
 
 def test_pii_edges(spark):
-    texts = [None, "", "a@b@c.de x@y.z.. é +1 (743) 555-3824 1.2.3.4.5 300.1.1.1", "4111 1111 1111 1111 iban DE89 3704 0044 0532 0130 00", "a" * 50_000 + "@", "ssn 123-45-6789 or 123-45-6789"]
+    texts = [None, "", "a@b@c.de x@y.z.. é +1 (743) 555-3824 1.2.3.4.5 300.1.1.1", "4111 1111 1111 1111 iban DE89 3704 0044 0532 0130 00", "a" * 50_000 + "@", "ssn 123-45-6789 or 123-45-6789", "it was 123-45-6789", 'token = "04dbebab91ab85687d33"', "a run 04dbebab91ab85687d33", "key " + "a" * 40]
     got = by_id(pii.digest(pii.spans(docs_of(spark, texts))))
     for i, t in enumerate(texts):
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t or ""))
         assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t
     assert got[3]["spans"].endswith("iban:25:52") and got[3]["n_card"] == 1
     assert "ssn:4:15" in got[5]["spans"]
+    assert [got[i]["n_added"] for i in range(6, 10)] == [0, 1, 0, 0] and got[7]["spans"] == "secret:9:29"
     assert pii.spans(docs_of(spark, []).limit(0)).count() == 0
 
 
