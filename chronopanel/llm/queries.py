@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, pii, repeats, sharding, simhash, toxicity, warc
+from . import chat, decontaminate, exact_dedup, packing, passages, pii, repeats, sharding, simhash, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -32,7 +32,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return repeats.removed(docs, marks=passages.shared_windows(docs))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

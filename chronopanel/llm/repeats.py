@@ -16,7 +16,8 @@ bytes. Then
 A cell is at most one window's range of starts, so nothing is lost where documents or long texts are cut.
 
 Defined cases: null texts are empty; texts shorter than LENGTH have no repeat; repeated rows repeat each other; extra columns are
-ignored; documents are told apart by id and content hash, so null and repeated ids are allowed.
+ignored; documents are told apart by id and content hash, so null and repeated ids are allowed (the id -2^63 stands for null); an empty
+table gives no rows; long texts are read in parts of PIECE bytes that overlap.
 """
 
 from __future__ import annotations
@@ -51,21 +52,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _CACHE: dict[str, np.ndarray] = {}
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base at least, and those of its inverse."""
+    if len(_CACHE.get("up", ())) < n:
+        _CACHE["up"], _CACHE["down"] = _powers(max(n, 1 << 19))
+    return _CACHE["up"], _CACHE["down"]
+
+
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A mixed 64-bit hash of the k bytes from each position."""
     n = len(data) + 1
-    if len(_CACHE.get("up", ())) < n:
-        _CACHE["up"], _CACHE["down"] = _powers(max(n, 1 << 19))
+    up, down = powers(n)
     total = np.zeros(n, np.uint64)
-    np.cumsum(TABLE[data] * _CACHE["up"][: n - 1], out=total[1:])
-    h = (total[k:] - total[:-k]) * _CACHE["down"][: n - k]
+    np.cumsum(TABLE[data] * up[: n - 1], out=total[1:])
+    h = (total[k:] - total[:-k]) * down[: n - k]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
 
 
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     size = 1
     while size * 2 <= w:
         x = np.minimum(x[:-size], x[size:])
@@ -79,7 +86,7 @@ def cells_of(data: np.ndarray, length: int = LENGTH, k: int = GRAM) -> tuple[np.
     n = len(h)
     bits = np.uint64(int(n).bit_length())
     back = np.arange(n - 1, -1, -1, dtype=np.uint64)
-    least = _sliding_min((h >> bits << bits) | back, length - k + 1)
+    least = sliding_min((h >> bits << bits) | back, length - k + 1)
     anchor = (np.uint64(n - 1) - (least & ((np.uint64(1) << bits) - np.uint64(1)))).astype(np.int64)
     cuts = np.flatnonzero(np.diff(anchor)) + 1
     lo = np.concatenate([[0], cuts])
@@ -318,18 +325,21 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, v in enumerate((None if i == -(2**63) else i, len(data), sum(b - a for a, b in runs), len(runs), h.hexdigest())):
                 out[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        columns = [*(pa.array(v, k) for v, k in zip(out, kinds, strict=True)), batch.column(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_windows"])
 
 
-def covered_texts(docs: DataFrame, covers: DataFrame) -> DataFrame:
-    """id, text and spans (null where nothing repeats) of every row."""
+def covered_texts(docs: DataFrame, covers: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """id, text, spans (null where nothing repeats) and n_shared_windows (0 where marks has none) of every row."""
     by_row = covers.groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return keyed(docs).join(staged(by_row, "repeat-rows"), ["id", "row"], "left").select("id", "text", "spans")
+    by_row = by_row.join(marks, ["id", "row"], "full") if marks is not None else by_row.withColumn("n_shared_windows", F.lit(0).cast("long"))
+    joined = keyed(docs).join(staged(by_row, "repeat-rows"), ["id", "row"], "left")
+    return joined.select("id", "text", "spans", F.coalesce("n_shared_windows", F.lit(0).cast("long")).alias("n_shared_windows"))
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def removed(docs: DataFrame, length: int = LENGTH, marks: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and n_shared_windows of marks (id, row, n_shared_windows)."""
     tune(docs.sparkSession, 256)
-    return covered_texts(docs, repeat_covers(docs, length)).mapInArrow(_stripped, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_windows long"
+    out = covered_texts(docs, repeat_covers(docs, length), marks).mapInArrow(_stripped, schema)
+    return out if marks is not None else out.drop("n_shared_windows")
