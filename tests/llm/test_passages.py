@@ -53,3 +53,5 @@ def test_shared_windows_on_table_and_edges(spark, sf):
     assert {r["id"]: r["n_shared_windows"] for r in passages.shared_windows(docs).collect()} == want and want
     assert passages.shared_windows(docs_of(spark, EDGE, ids=[1, 2, 3, None, 5, 6, 6, 7])).count() == 0
     assert passages.shared_windows(docs.limit(0)).count() == 0
+    twice = docs_of(spark, [" ".join(["a"] * 60)] * 3, ids=[1, 1, 2])
+    assert sorted((r["id"], r["n_shared_windows"]) for r in passages.shared_windows(twice).collect()) == [(1, 10), (2, 10)]
