@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 TINY = 1e-300
 
 
@@ -126,3 +128,75 @@ def quantile(dist: str, p: float, nu: float, lam: float | None = None) -> float:
     if nu <= 2.5:
         raise ValueError("nu must exceed 2.5")
     return skewt_ppf(p, nu, lam or 0.0) if dist == "skewt" else t_ppf(p, nu)
+
+
+def beta_inc_array(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """beta_inc of many points at once."""
+    x = np.clip(np.asarray(x, float), 0.0, 1.0)
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    inside = np.clip(y, TINY, 1 - 1e-16)
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(inside) + q * np.log1p(-inside)) / p
+    f, c, d = np.ones_like(y), np.ones_like(y), np.zeros_like(y)
+    for i in range(2000):
+        m = i // 2
+        if i == 0:
+            top = np.ones_like(y)
+        elif i % 2 == 0:
+            top = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        else:
+            top = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        d = 1 + top * d
+        d = 1 / np.where(d == 0, TINY, d)
+        c = 1 + top / c
+        c = np.where(c == 0, TINY, c)
+        f = f * c * d
+        if i and np.all(np.abs(c * d - 1) < 1e-15):
+            break
+    out = np.where(y <= 0, 0.0, front * (f - 1))
+    return np.where(turned, 1 - out, out)
+
+
+def t_cdf_array(x: np.ndarray, df: float) -> np.ndarray:
+    x = np.asarray(x, float)
+    tail = 0.5 * beta_inc_array(df / 2, 0.5, df / (df + x * x))
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def t_ppf_array(p: np.ndarray, df: float) -> np.ndarray:
+    """Quantiles of many probabilities: bisection in all of them at once."""
+    p = np.asarray(p, float)
+    lo, hi = np.full_like(p, -1e6), np.full_like(p, 1e6)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        below = t_cdf_array(mid, df) < p
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return (lo + hi) / 2
+
+
+def kolmogorov_sf(distance: float, n: int) -> float:
+    """p value of a Kolmogorov-Smirnov distance: the limiting series at (sqrt n + 0.12 + 0.11 / sqrt n) times it."""
+    t = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * distance
+    return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)))) if t > 0.2 else 1.0
+
+
+#: MacKinnon's response surface of the unit-root t statistic for one series (small, large, least, greatest, switch).
+MACKINNON = {
+    "c": ((2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368), -18.83, 2.74, -1.61),
+    "ct": ((3.2512, 1.6047, 0.049588), (2.5261, 0.61654, -0.37956, -0.060285), -16.18, 0.7, -2.89),
+}
+#: Statistics of the level and trend stationarity test at 10, 5, 2.5 and 1 %.
+KPSS_LEVELS = (0.1, 0.05, 0.025, 0.01)
+KPSS_TABLE = {"c": (0.347, 0.463, 0.574, 0.739), "ct": (0.119, 0.146, 0.176, 0.216)}
+
+
+def mackinnon_p(t: float, trend: str = "c") -> float:
+    small, large, least, greatest, switch = MACKINNON[trend]
+    if t >= greatest or t <= least:
+        return 1.0 if t >= greatest else 0.0
+    return normal_cdf(sum(c * t**k for k, c in enumerate(small if t <= switch else large)))
+
+
+def kpss_p(statistic: float, trend: str = "c") -> float:
+    """By linear interpolation, within the table's 1 and 10 %."""
+    return float(np.interp(statistic, KPSS_TABLE[trend], KPSS_LEVELS))

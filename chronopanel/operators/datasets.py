@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.functions.ranks import before, splitters
 from chronopanel.sources.staging import staged
 
 from . import features, splits
@@ -71,13 +72,24 @@ def features_of(df: DataFrame) -> list[str]:
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long correlation matrix of average ranks over complete rows: a, b, rho.
 
-    Ranks replace values column by column through tables of distinct values; the correlations are one aggregation.
+    All columns are ranked together: their distinct values are range-partitioned by column and value, counted within a part, and
+    offset by what lies in the parts before. Ranks then go back to their rows by one join and one aggregation.
     """
-    rows = staged(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop(), "ranks")  # read once a column
-    bounds = splitters(rows, columns)
-    for c in columns:
-        counts = before(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, bounds=bounds[c])
-        rows = rows.join(counts.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"__r_{c}")), c)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    sums = rows.agg(*(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}|{b}") for a, b in pairs))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs))).alias("x")).select("x.*")
+    spark, at = df.sparkSession, range(len(columns))
+    rows = df.select(*(F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns))).na.drop()
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "ranks")
+    tall = rows.select("row", F.posexplode(F.array(*(f"v{i}" for i in at))).alias("c", "x"))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = tall.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, "c", "x")
+    counts = staged(counts.withColumn("part", F.spark_partition_id()), "rank-counts")
+    ahead = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("c", "part").agg(F.sum("n").alias("t"))
+    sums = sums.select("c", "part", F.coalesce(F.sum("t").over(ahead("part", "c")), F.lit(0)).alias("offset"))
+    ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead("x", "c", "part")), F.lit(0)))
+    ranked = ranked.join(F.broadcast(sums), ["c", "part"])  # a row a column and part
+    ranked = staged(ranked.select("c", "x", (F.col("offset") + F.col("before") + (F.col("n") + 1) / 2).alias("rank")), "rank-values")
+    wide = tall.join(ranked, ["c", "x"]).groupBy("row").agg(*(F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"r{i}") for i in at))
+    vectors = VectorAssembler(inputCols=[f"r{i}" for i in at], outputCol="ranks").transform(wide).select("ranks")
+    matrix = Correlation.corr(vectors, "ranks").first()[0].toArray()  # a number a pair of columns
+    pairs = [(a, b, float(matrix[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    return spark.createDataFrame(pairs, "a string, b string, rho double")

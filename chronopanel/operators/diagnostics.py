@@ -166,7 +166,6 @@ def ranked(df: DataFrame, value: str) -> DataFrame:
     counts = before(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("__n")), value, "__n")
     total = counts.agg(F.sum("__n").alias("n"))
     each = counts.select(value, F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("__n"))).alias("position"))
-    each = each.withColumn("position", F.col("position").cast("int"))
     return each.join(F.broadcast(total))  # one row
 
 
@@ -175,26 +174,27 @@ def ranked_quantiles(df: DataFrame, value: str) -> DataFrame:
     return ranked(df, value).select("position", value, ((F.col("position") - 0.5) / F.col("n")).alias("probability"))
 
 
-def qq_table(df: DataFrame, value: str, ppf: Callable[[float], float]) -> DataFrame:
-    """ranked_quantiles with the theoretical quantile of each probability, evaluated in Arrow batches."""
+def qq_table(df: DataFrame, value: str, ppf: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """ranked_quantiles with the theoretical quantile of each probability; ppf takes an Arrow batch at a time."""
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(theoretical=[ppf(float(p)) for p in pdf["probability"]])
+            yield pdf.assign(theoretical=ppf(pdf["probability"].to_numpy(float)))
 
-    return ranked_quantiles(df, value).mapInPandas(run, f"position int, {value} double, probability double, theoretical double")
+    return ranked_quantiles(df, value).mapInPandas(run, f"position long, {value} double, probability double, theoretical double")
 
 
-def kolmogorov_smirnov(df: DataFrame, value: str, cdf: Callable[[float], float]) -> float:
-    """Largest distance of the empirical from the given distribution function; the function is evaluated in Arrow batches."""
+def kolmogorov_smirnov(df: DataFrame, value: str, cdf: Callable[[np.ndarray], np.ndarray]) -> dict:
+    """distance (the largest of the empirical from the given distribution function), n and p_value; cdf takes an Arrow batch at a time."""
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(f=[cdf(float(x)) for x in pdf[value]])
+            yield pdf.assign(f=cdf(pdf[value].to_numpy(float)))
 
-    rows = ranked(df, value).select(value, "position", "n").mapInPandas(run, f"{value} double, position int, n long, f double")
+    rows = ranked(df, value).select(value, "position", "n").mapInPandas(run, f"{value} double, position long, n long, f double")
     i = F.col("position")
-    return rows.agg(F.max(F.greatest(F.abs(i / F.col("n") - F.col("f")), F.abs((i - 1) / F.col("n") - F.col("f"))))).first()[0]
+    got = rows.agg(F.max(F.greatest(F.abs(i / F.col("n") - F.col("f")), F.abs((i - 1) / F.col("n") - F.col("f")))).alias("distance"), F.count(F.lit(1)).alias("n")).first()
+    return {"distance": got["distance"], "n": got["n"], "p_value": special.kolmogorov_sf(got["distance"], got["n"])}
 
 
 def _regress(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -204,15 +204,16 @@ def _regress(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, floa
     return beta, np.sqrt(np.diag(np.linalg.pinv(x.T @ x)) * s2), float(e @ e)
 
 
-def adf_statistic(y: np.ndarray, max_lags: int | None = None) -> tuple[float, int]:
-    """t statistic of the lagged level with a constant; lags by least AIC on a common sample."""
+def adf_statistic(y: np.ndarray, max_lags: int | None = None, trend: str = "c") -> tuple[float, int]:
+    """t statistic of the lagged level with a constant (ct: and a trend); lags by least AIC on a common sample."""
     n = len(y)
     top = max_lags if max_lags is not None else min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
     d = np.diff(y)
 
     def design(lags: int, start: int) -> tuple[np.ndarray, np.ndarray]:
         rows = range(start, len(d))
-        x = np.column_stack([np.ones(len(rows)), y[start : len(d)], *(d[start - i : len(d) - i] for i in range(1, lags + 1))])
+        slope = [np.arange(len(rows), dtype=float)] if trend == "ct" else []
+        x = np.column_stack([np.ones(len(rows)), y[start : len(d)], *(d[start - i : len(d) - i] for i in range(1, lags + 1)), *slope])
         return d[start:], x
 
     def aic(lags: int) -> float:
@@ -226,14 +227,15 @@ def adf_statistic(y: np.ndarray, max_lags: int | None = None) -> tuple[float, in
     return float(beta[1] / se[1]), best
 
 
-#: 5 % critical values of the tests with a constant in large samples.
-ADF_5, KPSS_5, ZIVOT_ANDREWS_5 = -2.86, 0.463, -4.93
+#: Fixed value: 5 % critical value of the test with a break in the level.
+ZIVOT_ANDREWS_5 = -4.93
 
 
-def kpss_statistic(y: np.ndarray) -> float:
-    """Level stationarity with a Bartlett kernel of 12 (n / 100)^(1/4) lags."""
+def kpss_statistic(y: np.ndarray, trend: str = "c") -> float:
+    """Stationarity around a level (ct: a trend) with a Bartlett kernel of 12 (n / 100)^(1/4) lags."""
     n = len(y)
-    e = y - y.mean()
+    t = np.arange(n, dtype=float)
+    e = y - (np.polyval(np.polyfit(t, y, 1), t) if trend == "ct" else y.mean())
     lags = min(int(math.ceil(12 * (n / 100) ** 0.25)), n - 1)
     s2 = float(e @ e) / n + 2 * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) / n for k in range(1, lags + 1))
     return float(np.sum(np.cumsum(e) ** 2) / (n * n * s2))
@@ -252,18 +254,26 @@ def zivot_andrews(y: np.ndarray, trim: float = 0.15, lags: int = 1) -> tuple[flo
     return best
 
 
-def stationarity(df: DataFrame, value: str = "value") -> DataFrame:
-    """A row a series: statistics, and whether the unit root is rejected while level stationarity is not. df: series, date, value."""
+def stationarity(df: DataFrame, value: str = "value", trend: str = "c", alpha: float = 0.05) -> DataFrame:
+    """A row a series: statistics and p values, and whether the unit root is rejected at alpha while stationarity is not.
+
+    df: series, date, value; trend: c (a level) or ct (a trend). Series of fewer than 20 values have nulls.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("date")[value].dropna().to_numpy(float)
-        adf, lags = adf_statistic(y)
-        kpss = kpss_statistic(y)
-        za, at = zivot_andrews(y)
-        return pd.DataFrame([{"series": pdf.series.iloc[0], "n": len(y), "adf": adf, "adf_lags": lags, "kpss": kpss, "zivot_andrews": za, "break_at": at, "stationary": adf < ADF_5 and kpss < KPSS_5}])
-
+        row = {"series": pdf.series.iloc[0], "n": len(y)}
+        if len(y) >= 20:
+            adf, lags = adf_statistic(y, trend=trend)
+            kpss = kpss_statistic(y, trend)
+            za, at = zivot_andrews(y)
+            p_adf, p_kpss = special.mackinnon_p(adf, trend), special.kpss_p(kpss, trend)
+            row |= {"adf": adf, "adf_lags": lags, "adf_p": p_adf, "kpss": kpss, "kpss_p": p_kpss, "zivot_andrews": za, "break_at": at, "break_rejects": za < ZIVOT_ANDREWS_5, "stationary": p_adf < alpha <= p_kpss}
+        return pd.DataFrame([row], columns=[x.split()[0] for x in schema.split(", ")])
+
+    schema = "series string, n int, adf double, adf_lags int, adf_p double, kpss double, kpss_p double, zivot_andrews double, break_at int, break_rejects boolean, stationary boolean"
     picked = df.select(F.col("series").cast("string").alias("series"), "date", F.col(value).cast("double").alias(value))
-    return picked.groupBy("series").applyInPandas(run, "series string, n int, adf double, adf_lags int, kpss double, zivot_andrews double, break_at int, stationary boolean")
+    return picked.groupBy("series").applyInPandas(run, schema)
 
 
 def anderson_darling(x: np.ndarray) -> float:

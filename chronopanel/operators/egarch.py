@@ -178,6 +178,13 @@ def loglik(e: np.ndarray, s2: np.ndarray, dist: str, nu: float, lam: float | Non
     return float(np.sum(const - 0.5 * np.log(s2) - 0.5 * (nu + 1) * np.log1p(e * e / (s2 * (nu - 2)))))
 
 
+def student_loglik(path: DataFrame, nu: float, series: str = "series") -> DataFrame:
+    """series, n, loglik of a filtered path (columns e, sigma2) under Student innovations, as one aggregation."""
+    const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
+    term = F.lit(const) - F.log("sigma2") / 2 - F.lit(0.5 * (nu + 1)) * F.log1p(F.col("e") * F.col("e") / (F.col("sigma2") * F.lit(nu - 2)))
+    return path.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.sum(term).alias("loglik"))
+
+
 def to_params(x: np.ndarray, o: int, p: int, dist: str) -> Params:
     at = 1 + 2 * o + p
     return Params(x[0], tuple(x[1 : 1 + o]), tuple(x[1 + o : 1 + 2 * o]), tuple(x[1 + 2 * o : at]), x[at], x[at + 1] if dist == "skewt" else None, dist)

@@ -50,6 +50,13 @@ def mincer_zarnowitz(df: DataFrame, e: str = "e", s2: str = "sigma2") -> DataFra
     return fit.select("n", "intercept", "slope", "r2", t_intercept.alias("t_intercept"), t_slope.alias("t_slope"))
 
 
+def mincer_zarnowitz_p(fit: DataFrame) -> DataFrame:
+    """The row of mincer_zarnowitz with two-sided p values of intercept 0 and slope 0."""
+    r = fit.first()
+    p = {f"p_{k}": 2 * (1 - special.t_cdf(abs(r[f"t_{k}"]), r["n"] - 2)) for k in ("intercept", "slope")}
+    return fit.select("*", *(F.lit(v).alias(k) for k, v in p.items()))
+
+
 def calibrated(s2: Column, intercept: Column, slope: Column, with_intercept: bool = False) -> Column:
     return F.when(s2.isNotNull(), F.greatest(F.lit(EPS), slope * s2 + (intercept if with_intercept else F.lit(0.0))))
 
@@ -104,13 +111,17 @@ def regression_metrics(df: DataFrame, y: str, pred: str, keys: tuple[str, ...] =
 
 
 def diebold_mariano(df: DataFrame, e1: str, e2: str, power: int = 2, h: int = 1, order: str = "date") -> DataFrame:
-    """Mean loss difference over its standard error; h > 1 adds autocovariances of lags below h."""
+    """Mean loss difference over its standard error; h > 1 adds autocovariances, at lags below h, of the mean difference of each date.
+
+    One row a date is left before the window, so its size is that of the calendar.
+    """
     d = F.pow(F.abs(e1), F.lit(float(power))) - F.pow(F.abs(e2), F.lit(float(power)))
     rows = df.withColumn("__d", d)
     stats = rows.agg(F.count("__d").alias("n"), F.avg("__d").alias("mean_d"), F.var_samp("__d").alias("variance"))
     if h > 1:
         w = Window.orderBy(order)
-        centred = rows.join(F.broadcast(stats.select("mean_d"))).withColumn("__c", F.col("__d") - F.col("mean_d"))  # one row
+        daily = rows.filter("__d is not null").groupBy(order).agg(F.avg("__d").alias("__d"))
+        centred = daily.join(F.broadcast(stats.select("mean_d"))).withColumn("__c", F.col("__d") - F.col("mean_d"))  # one row
         lagged = centred.select(*((F.col("__c") * F.lag("__c", k).over(w)).alias(f"g{k}") for k in range(1, h)))
         extra = lagged.agg(sum((F.coalesce(F.avg(f"g{k}"), F.lit(0.0)) for k in range(1, h)), F.lit(0.0)).alias("extra"))
         stats = stats.join(F.broadcast(extra)).withColumn("variance", F.col("variance") + 2 * F.col("extra")).drop("extra")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.columns import clamp
+from chronopanel.functions.ranks import positions
 from chronopanel.sources.files import require_columns, require_rows
 
 TARGETS = ("log_volatility", "log_volume", "log_return", "weighted_log_return")
@@ -61,9 +62,15 @@ def top(df: DataFrame, by: str, k: int = 20, ties: str | None = None) -> DataFra
     return df.orderBy(F.desc(by), *([ties] if ties else [])).limit(k)
 
 
-def plotting_sample(df: DataFrame, n: int = 500) -> DataFrame:
-    """At most n rows, chosen by a hash of the row: the same for the same table."""
-    return df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(n)
+def plotting_sample(df: DataFrame, n: int = 500, method: str = "uniform", date: str = "date") -> DataFrame:
+    """uniform: every k-th row by date (ties by all columns), k the whole part of rows over n; random: n rows by a hash of the row."""
+    if method == "random":
+        return df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(n)
+    if method != "uniform":
+        raise ValueError(f"{method!r} is no sampling method")
+    step = max(1, df.count() // n)
+    at = positions(df, date, *(c for c in df.columns if c != date), out="__at")
+    return at.filter(F.pmod("__at", F.lit(step)) == 0).select(*df.columns)
 
 
 def date_text(c: Column, pattern: str = "yyyy-MM-dd") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -428,7 +429,11 @@ def ticker_code(spark, d):
     return cleaning.ticker_codes(panels.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("ticker"))).select("o_orderkey", "ticker_id")
 
 
-@query()
+_BITS = "flatten([[ascii(x)] || [256 for k in range(0, 8)] for x in string_split(o_orderpriority, '')])"
+_CRC = f"list_reduce([CAST(x AS BIGINT) for x in [4294967295] || {_BITS}], lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+
+
+@query(f"SELECT o_orderpriority, CAST(xor({_CRC}, 4294967295) % 2147483648 AS INT) AS ticker_id FROM (SELECT DISTINCT o_orderpriority FROM orders)")
 def ticker_crc32(spark, d):
     return panels.table(spark, d, "orders").select("o_orderpriority").distinct().select("o_orderpriority", crc_code(F.col("o_orderpriority")).alias("ticker_id"))
 
@@ -539,18 +544,38 @@ def egarch_multi_step(spark, d):
     return rounded(egarch.multi_step(state, 30, PRM).select("h", F.log("sigma2").alias("log_sigma2")))
 
 
-@query()
+_SKEWED = {k: special.quantile("skewt", p, SKEW.nu, SKEW.lam) for k, p in (("pi_low", (1 - 0.95) / 2), ("pi_high", 1 - (1 - 0.95) / 2), ("value_at_risk", 1 - 0.95))}
+
+
+@query("WITH v AS (SELECT CAST(h.range AS INT) AS h, exp(power(0.97, h.range) * ln(0.04) - 0.31 * (1 - power(0.97, h.range)) / (1 - 0.97)) AS sigma2 FROM range(1, 11) h) SELECT h, " + ", ".join([S.r("sigma2"), S.r("sqrt(sigma2)", "sigma"), *(S.r(f"sqrt(sigma2) * CAST({q!r} AS DOUBLE)", k) for k, q in _SKEWED.items())]) + " FROM v")
 def forecast_table(spark, d):
     state = spark.createDataFrame([(0.04,)], "s2_last double")
     return rounded(egarch.forecast_table(state, 10, SKEW))
 
 
-@query()
+_EXACT = f"""begun AS (SELECT k AS t, date, e, ln(greatest(var_pop(e) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e-10)) AS ln FROM res),
+walk AS (
+  SELECT begun.t, CAST(0 AS BIGINT) AS k, begun.ln, res.e / exp(begun.ln / 2) AS z FROM begun JOIN res ON res.k = 0 WHERE begun.t >= 100
+  UNION ALL
+  SELECT n.t, n.k, n.ln, n.e / exp(n.ln / 2) FROM (
+    SELECT s.t, s.k + 1 AS k, res.e, {PRM.omega!r} + {PRM.beta[0]!r} * s.ln + {PRM.alpha[0]!r} * (abs(s.z) - {PRM.kappa!r}) + {PRM.gamma[0]!r} * s.z AS ln
+    FROM walk s JOIN res ON res.k = s.k + 1 WHERE s.k + 1 < s.t) n)"""
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, _EXACT, f"SELECT 'index' AS series, begun.date, {S.r('begun.e', 'e')}, {S.r('exp(walk.ln)', 'forecast')} FROM walk JOIN begun ON begun.t = walk.t WHERE walk.k = walk.t - 1", recursive=True))
 def variance_forecast_exact(spark, d):
     df = _series(spark, d)
     return rounded(df.groupBy("series").applyInPandas(egarch.exact_forecasts(PRM, 100), "series string, date date, e double, forecast double"))
 
 
+_CONST = math.lgamma((PRM.nu + 1) / 2) - math.lgamma(PRM.nu / 2) - 0.5 * math.log(math.pi * (PRM.nu - 2))
+
+
+@query(_path_sql(PRM, f"SELECT count(*) AS n, {S.r(f'sum({_CONST!r} - 0.5 * path.ln - 0.5 * ({PRM.nu!r} + 1) * ln(1 + res.e * res.e / (exp(path.ln) * ({PRM.nu!r} - 2))))', 'loglik')} FROM path JOIN res ON res.k = path.k"))
+def egarch_loglik(spark, d):
+    return rounded(egarch.student_loglik(egarch.filtered(_series(spark, d), PRM), PRM.nu).drop("series"))
+
+
 _TICKER_PATH = f"""rets AS (SELECT ticker, date, ln(close / lag(close) OVER w) AS e, row_number() OVER w - 2 AS k FROM prio WINDOW w AS ({_LAG})),
 res AS (SELECT * FROM rets WHERE k >= 0),
 start AS (SELECT ticker, ln(greatest(var_pop(e), 1e-10)) AS ln FROM res GROUP BY ticker),
@@ -610,6 +635,14 @@ def mincer_zarnowitz(spark, d):
     return rounded(evaluate.mincer_zarnowitz(_forecasts(spark, d)))
 
 
+_MZ_T = "mt AS (SELECT *, a / sqrt(syy * (1 - r2) / (n - 2) * (1.0 / n + mx * mx / sxx)) AS ta, b / sqrt(syy * (1 - r2) / (n - 2) / sxx) AS tb FROM mz)"
+
+
+@query(_eval_sql(_MZ, _MZ_T, f"SELECT CAST(n AS BIGINT) AS n, {S.r('a', 'intercept')}, {S.r('b', 'slope')}, {S.r('r2')}, {S.r('ta', 't_intercept')}, {S.r('tb', 't_slope')}, {S.r('1 - 2 * ' + S.t_half('abs(ta)', '(CAST(n AS DOUBLE) - 2)'), 'p_intercept')}, {S.r('1 - 2 * ' + S.t_half('abs(tb)', '(CAST(n AS DOUBLE) - 2)'), 'p_slope')} FROM mt"))
+def mincer_zarnowitz_p_values(spark, d):
+    return rounded(evaluate.mincer_zarnowitz_p(evaluate.mincer_zarnowitz(_forecasts(spark, d))))
+
+
 @query(_eval_sql(_MZ, f"SELECT date, {S.r('greatest(1e-12, mz.b * sigma2)', 'sigma2')} FROM fc, mz"))
 def mz_calibrated(spark, d):
     rows = _forecasts(spark, d).filter("sigma2 is not null")
@@ -651,7 +684,7 @@ def var_backtest(spark, d):
     return rounded(evaluate.var_backtest(_forecasts(spark, d), nu=PRM.nu))
 
 
-@query()
+@query(_eval_sql(_HITS, _KUPIEC, _CHRIST, f"SELECT kup.alpha, n, x, {S.r('rate', 'hit_rate')}, {S.r('lr_uc')}, n00, n01, n10, n11, {S.r('lr_ind')}, {S.r('lr_uc + lr_ind', 'lr_cc')}, {S.r(S.chi2_sf_1('lr_uc'), 'p_uc')}, {S.r(S.chi2_sf_1('lr_ind'), 'p_ind')}, {S.r('exp(-greatest(lr_uc + lr_ind, 0.0) / 2)', 'p_cc')} FROM kup JOIN chr ON kup.alpha = chr.alpha"))
 def var_backtest_p_values(spark, d):
     return rounded(evaluate.with_p_values(evaluate.var_backtest(_forecasts(spark, d), nu=PRM.nu)))
 
@@ -688,7 +721,7 @@ def diebold_mariano(spark, d):
 @query()
 def bootstrap_r2(spark, d):
     df = _naive(spark, d).select("ticker", "date", "log_volatility", "log_volatility_lag_1", "log_volatility_lag_2")
-    return rounded(evaluate.bootstrap_summary(evaluate.bootstrap_r2(df, "log_volatility", "log_volatility_lag_1", "log_volatility_lag_2", reps=50)))
+    return rounded(evaluate.bootstrap_summary(evaluate.bootstrap_r2(df, "log_volatility", "log_volatility_lag_1", "log_volatility_lag_2", reps=1000)))
 
 
 @query()
@@ -721,7 +754,15 @@ def mcleod_li(spark, d):
     return rounded(diagnostics.ljung_box(_residuals(spark, d), "e", square=True))
 
 
-@query()
+_PACF = """rs AS (SELECT list(sk / s0 ORDER BY lag) AS r FROM l, s),
+walk AS (
+  SELECT 1 AS k, r, r[1] AS a, [r[1]] AS phi, 1 - r[1] * r[1] AS den FROM rs
+  UNION ALL
+  SELECT k + 1, r, a, list_concat([phi[j] - a * phi[k + 1 - j] for j in range(1, k + 1)], [a]), den * (1 - a * a)
+  FROM (SELECT k, r, phi, den, (r[k + 1] - list_sum([phi[j] * r[k + 1 - j] for j in range(1, k + 1)])) / den AS a FROM walk WHERE k < 20))"""
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, _CENTRED.format("e"), _PACF, f"SELECT CAST(k AS INT) AS lag, {S.r('greatest(-1.0, least(1.0, a))', 'r')} FROM walk", recursive=True))
 def pacf20(spark, d):
     r = [x["r"] for x in diagnostics.autocorrelations(_residuals(spark, d), "e").orderBy("lag").collect()]
     return rounded(spark.createDataFrame(list(enumerate(diagnostics.partial_autocorrelations(r), 1)), "lag int, r double"))
@@ -775,7 +816,7 @@ def jarque_bera(spark, d):
     return rounded(diagnostics.jarque_bera(_residuals(spark, d), "e"))
 
 
-@query(S.with_(S.INDEX, S.RESIDUALS, f"SELECT CAST(row_number() OVER (ORDER BY e) AS INT) AS position, {S.r('e')}, {S.r('(row_number() OVER (ORDER BY e) - 0.5) / count(*) OVER ()', 'probability')} FROM res"))
+@query(S.with_(S.INDEX, S.RESIDUALS, f"SELECT row_number() OVER (ORDER BY e) AS position, {S.r('e')}, {S.r('(row_number() OVER (ORDER BY e) - 0.5) / count(*) OVER ()', 'probability')} FROM res"))
 def qq_positions(spark, d):
     return rounded(diagnostics.ranked_quantiles(_residuals(spark, d), "e"))
 
@@ -783,20 +824,42 @@ def qq_positions(spark, d):
 @query()
 def qq_student(spark, d):
     z = egarch.filtered(_series(spark, d), PRM)
-    return rounded(diagnostics.qq_table(z, "z", lambda p: special.t_ppf(p, PRM.nu)))
+    return rounded(diagnostics.qq_table(z, "z", lambda p: special.t_ppf_array(p, PRM.nu)))
 
 
-@query()
+_KS = f"""zs AS (SELECT res.e / exp(path.ln / 2) AS z FROM path JOIN res ON res.k = path.k),
+fs AS (SELECT row_number() OVER (ORDER BY z) AS i, count(*) OVER () AS n, 0.5 + sign(z) * {S.t_half("abs(z)", repr(PRM.nu))} AS f FROM zs),
+ks AS (SELECT max(greatest(abs(i / n - f), abs((i - 1) / n - f))) AS distance, count(*) AS n FROM fs),
+ts AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * distance AS t FROM ks)"""
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, S.egarch_path(PRM.omega, PRM.alpha, PRM.gamma, PRM.beta, PRM.kappa), _KS, f"SELECT {S.r('distance')}, n, {S.r('greatest(0.0, least(1.0, 2 * list_sum([power(-1, k - 1) * exp(-2 * k * k * t * t) for k in range(1, 101)])))', 'p_value')} FROM ts", recursive=True))
 def kolmogorov_smirnov(spark, d):
     z = egarch.filtered(_series(spark, d), PRM)
-    return rounded(spark.createDataFrame([(diagnostics.kolmogorov_smirnov(z, "z", lambda x: special.t_cdf(x, PRM.nu)),)], "distance double"))
+    got = diagnostics.kolmogorov_smirnov(z, "z", lambda x: special.t_cdf_array(x, PRM.nu))
+    return rounded(spark.createDataFrame([(got["distance"], got["n"], got["p_value"])], "distance double, n long, p_value double"))
 
 
 @query()
 def adf_kpss_za(spark, d):
     df = features.log_returns(panels.panel_prio(spark, d)).select(F.col("ticker").alias("series"), "date", F.col("log_return").alias("value"))
-    weekly = df.groupBy("series", F.trunc("date", "week").alias("date")).agg(F.sum("value").alias("value"))
-    return rounded(diagnostics.stationarity(weekly))
+    return rounded(diagnostics.stationarity(df))
+
+
+_KPSS = """kr AS (SELECT ticker, date, ln(close / lag(close) OVER w) AS v FROM prio WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+ke AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, v - avg(v) OVER (PARTITION BY ticker) AS e, count(*) OVER (PARTITION BY ticker) AS n FROM kr WHERE v IS NOT NULL),
+kn AS (SELECT DISTINCT ticker, n, CAST(least(ceil(12 * power(n / 100.0, 0.25)), n - 1) AS INT) AS q FROM ke),
+kg AS (SELECT a.ticker, b.i - a.i AS k, sum(a.e * b.e) / any_value(kn.n) AS g FROM ke a JOIN kn ON kn.ticker = a.ticker JOIN ke b ON b.ticker = a.ticker AND b.i >= a.i AND b.i <= a.i + kn.q GROUP BY 1, 2),
+kl AS (SELECT kg.ticker, sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (q + 1.0)) * g END) AS s2 FROM kg JOIN kn ON kn.ticker = kg.ticker GROUP BY 1),
+kc AS (SELECT ticker, n, sum(e) OVER (PARTITION BY ticker ORDER BY i) AS s FROM ke),
+kp AS (SELECT kc.ticker AS series, CAST(any_value(n) AS INT) AS n, sum(s * s) / (any_value(n) * any_value(n) * any_value(s2)) AS kpss FROM kc JOIN kl ON kl.ticker = kc.ticker GROUP BY 1)"""
+_KPSS_P = "CASE WHEN kpss <= 0.347 THEN 0.1 WHEN kpss <= 0.463 THEN 0.1 - 0.05 * (kpss - 0.347) / (0.463 - 0.347) WHEN kpss <= 0.574 THEN 0.05 - 0.025 * (kpss - 0.463) / (0.574 - 0.463) WHEN kpss <= 0.739 THEN 0.025 - 0.015 * (kpss - 0.574) / (0.739 - 0.574) ELSE 0.01 END"
+
+
+@query(S.with_(S.PRIO, _KPSS, f"SELECT series, n, {S.r('kpss')}, {S.r(_KPSS_P, 'kpss_p')} FROM kp"))
+def kpss_by_ticker(spark, d):
+    rows = _prio_residuals(spark, d).withColumnRenamed("e", "value")
+    return rounded(diagnostics.stationarity(rows).select("series", "n", "kpss", "kpss_p"))
 
 
 @query()
@@ -843,18 +906,21 @@ for _name in datasets.VARIANTS:
     _variant(_name)
 
 
-_SP = ("close", "volume", "high")
+_SP = ("close", "volume", "high", "low", *_TECH, "log_volatility", *features.CALENDAR)
 
 
 @query(
     S.with_(
         S.PANEL,
-        "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _SP) + " FROM panel)",
+        _ALL,
+        "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _SP) + " FROM (SELECT " + ", ".join(S.r(c) for c in _SP) + " FROM feats WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _SP) + "))",
         " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {S.r(f'corr({a}, {b})', 'rho')} FROM rk" for i, a in enumerate(_SP) for b in _SP[i:]),
     )
 )
 def spearman_matrix(spark, d):
-    return rounded(datasets.spearman(panels.panel(spark, d), list(_SP)))
+    """Over values rounded to six digits, so that both engines see the same ties."""
+    df = features.with_volatility(features.with_all_features(panels.panel(spark, d)))
+    return rounded(datasets.spearman(rounded(df), list(_SP)))
 
 
 # Labels
@@ -959,7 +1025,7 @@ def top_turnover(spark, d):
     return rounded(selection.top(sums, "turnover", 20, "ticker"))
 
 
-@query()
+@query(S.with_(S.INDEX, "n AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS k FROM idx)", f"SELECT date, {S.r('close')}, {S.r('r', 'weighted_log_return')} FROM n WHERE i % greatest(1, k // 500) = 0"))
 def plotting_sample(spark, d):
     return rounded(selection.plotting_sample(panels.index(spark, d), 500))
 
@@ -1019,3 +1085,4 @@ def stream_hourly(spark, d):
     return rounded(live.windowed(panels.table(spark, d, "events")).drop("end"))
 
 
+from . import reports  # noqa: E402, F401  (registers its queries here)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 PANEL = """panel AS (
   SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS close,
     max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_quantity) AS volume
@@ -60,3 +62,21 @@ walk AS (
   SELECT n.k, n.ln, n.ln1, n.e / exp(n.ln / 2), n.z1
   FROM (SELECT res.k, res.e, greatest(-300.0, least(300.0, {nxt})) AS ln, s.ln AS ln1, s.z AS z1 FROM walk s JOIN res ON res.k = s.k + 1) n),
 path AS (SELECT k, ln FROM walk UNION ALL SELECT res.k, start.ln FROM res, start WHERE res.k < {lead - 1})"""
+
+
+def integral(f: Callable[[str], str], upper: str, steps: int = 400) -> str:
+    """Simpson's rule from 0 to upper; f makes SQL of a point."""
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(({upper}) / {3 * steps} * list_sum([{weight} * {f(f'(({upper}) * i / {steps})')} for i in range(0, {steps + 1})]))"
+
+
+def chi2_sf_1(x: str) -> str:
+    """Upper tail of chi squared with one degree of freedom."""
+    inner = integral(lambda u: f"exp(-{u} * {u} / 2)", f"sqrt(greatest({x}, 0.0))")
+    return f"(1 - 2 * {inner} / sqrt(2 * pi()))"
+
+
+def t_half(x: str, df: str) -> str:
+    """Student probability between 0 and x >= 0."""
+    inner = integral(lambda u: f"power(1 + {u} * {u} / ({df}), -(({df}) + 1) / 2.0)", x)
+    return f"({inner} * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()))"

@@ -46,9 +46,9 @@ def read_table(spark: SparkSession, path: str, *, schema: T.StructType | None =
 
 
 def write_both(df: DataFrame, stem: str) -> None:
-    """Parquet and CSV side by side."""
+    """Parquet and CSV side by side; the CSV comes from the Parquet just written, so df is computed once."""
     df.write.mode("overwrite").parquet(f"{stem}.parquet")
-    df.write.mode("overwrite").option("header", True).csv(f"{stem}.csv")
+    df.sparkSession.read.schema(df.schema).parquet(f"{stem}.parquet").write.mode("overwrite").option("header", True).csv(f"{stem}.csv")
 
 
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
@@ -68,6 +68,12 @@ def write_tickers(df: DataFrame, path: str) -> None:
     df.select("ticker").distinct().orderBy("ticker").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_tickers(spark: SparkSession, path: str) -> DataFrame:
+    """What write_tickers wrote: ticker, trimmed, without empty names and repeats."""
+    df = require_columns(spark.read.schema("ticker string").csv(path, header=True), ["ticker"], path)
+    return df.select(F.trim("ticker").alias("ticker")).filter("ticker <> ''").distinct()
+
+
 def ingest(raw: DataFrame) -> DataFrame:
     """Downloaded quotes to (date, tickers, high, low, close, volume): renamed, complete rows only."""
     df = raw
