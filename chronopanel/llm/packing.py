@@ -8,13 +8,15 @@ bins by rank within their length, counted in salted parts, so that a hot length
 
 Documents longer than the largest capacity are cut into pieces of it; no token is dropped.
 
-Defined cases: null and empty documents have no piece in a bin: their row has null bin columns and length 0; a null doc_id
-sorts first in ranks; repeated rows are packed each.
+Defined cases: null and empty documents have no piece in a bin: among the places their row has null bin columns and length 0, among
+the bins they do not occur; a null doc_id sorts first in ranks; equal lengths are ranked by id; repeated rows are packed each; other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -27,7 +29,9 @@ from .common import id_and_text, staged, text_or_empty, tune
 CAPACITIES = (2048, 4096, 8192, 16384)
 OVERHEAD = 64  # cost of a bin beside its capacity, in tokens
 ATTENTION = 1 / 65536  # cost of attention a squared token of capacity: it favours small bins, the overhead large ones
-SALTS = 32
+SALTS = 32  # parts of a length at least; a hot length has as many as keep them at PART rows
+PART = 100_000
+END = b"\xff"  # the end-of-text token among bytes
 
 
 def byte_tokens(text: Column) -> Column:
@@ -134,6 +138,7 @@ def pack(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: i
     spark = items.sparkSession
     capacities = tuple(sorted(capacities))
     items = staged(items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")), "pack-items")
+    salts = max(salts, math.ceil(items.agg(F.sum(F.ceil(F.col("tokens") / capacities[-1]))).first()[0] or 0) // PART)
     cut = pieces(items, capacities[-1]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = staged(cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most the largest capacity
@@ -158,4 +163,24 @@ def pack(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: i
 
 
 def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
+    """The places of the pieces of docs under the byte-level vocabulary, as pack gives them."""
     return pack(docs.select("doc_id", byte_tokens(text_or_empty()).alias("tokens")), capacities, overhead)
+
+
+def sequences(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
+    """The packed bins, a row each: bin_id, bin_capacity, bin_tokens, and by place in the bin doc_ids, pieces, starts, lengths; tokens.
+
+    tokens holds the byte-level tokens of the whole bin: UTF-8, and END (which UTF-8 has not) after each text. Texts are written once with
+    a number of their own, so that repeated rows stay apart, meet the places of their pieces once, and are cut and dealt to bins.
+    """
+    texts = staged(docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("uid")), "pack-texts")
+    placed = pack(texts.select(F.col("uid").alias("doc_id"), byte_tokens(F.col("text")).alias("tokens")), capacities, overhead)
+    places = placed.filter("bin_id is not null").groupBy(F.col("doc_id").alias("uid")).agg(F.collect_list(F.struct("bin_id", "bin_capacity", "bin_tokens", "bin_offset", "piece", "start", "length")).alias("places"))
+    met = texts.join(staged(places, "pack-places"), "uid")
+    met = met.withColumn("bytes", F.concat(F.col("text").cast("binary"), F.lit(END)))
+    cut = met.select("doc_id", F.explode(F.expr("transform(places, p -> struct(p.bin_id as bin_id, p.bin_capacity as bin_capacity, p.bin_tokens as bin_tokens, p.bin_offset as bin_offset, p.piece as piece, p.start as start, p.length as length, substring(bytes, cast(p.start as int) + 1, p.length) as content))")).alias("p"))
+    inside = F.sort_array(F.collect_list(F.struct("p.bin_offset", "doc_id", "p.piece", "p.start", "p.length", "p.content")))
+    bins = cut.groupBy("p.bin_id").agg(F.first("p.bin_capacity").alias("bin_capacity"), F.first("p.bin_tokens").alias("bin_tokens"), inside.alias("own"))
+    each = lambda c: F.transform("own", lambda x: x[c])
+    tokens = F.expr("unhex(array_join(transform(own, x -> hex(x.content)), ''))")
+    return bins.select("bin_id", "bin_capacity", "bin_tokens", each("doc_id").alias("doc_ids"), each("piece").alias("pieces"), each("start").alias("starts"), each("length").alias("lengths"), tokens.alias("tokens"))

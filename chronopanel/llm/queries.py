@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.sequences(table(spark, sf_dir, "documents"))
 
 
 def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

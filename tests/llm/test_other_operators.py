@@ -7,6 +7,7 @@ from bisect import insort
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.llm import chat, packing, queries, sharding, warc
 
@@ -43,14 +44,24 @@ def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 300
 
 
+def cheapest(length, same, shorter, capacities, overhead):
+    """Of the capacities that hold the piece, the one of least cost a token that it can be expected to hold; the smallest of equals."""
+    costs = []
+    for c in sorted(c for c in capacities if c >= length):
+        alike = length * min(same, c // length)
+        costs.append(((overhead + c + c * c / 65536) / min(c, alike + shorter), c))
+    least = min(x for x, _ in costs)
+    return next(c for x, c in costs if x <= least + 1e-12)
+
+
 def brute_best_fit(lengths, capacities, overhead):
-    """One piece at a time, with the same opening rule."""
+    """One piece at a time."""
     left = Counter(lengths)
     free, bins = [], []
     for n in sorted(lengths, reverse=True):
         at = next((i for i, (room, _) in enumerate(free) if room >= n), None)
         if at is None:
-            room = packing.opening(n, left[n], sum(k * c for k, c in left.items() if k < n), capacities, overhead)
+            room = cheapest(n, left[n], sum(k * c for k, c in left.items() if k < n), capacities, overhead)
             bins.append([])
             b = len(bins) - 1
         else:
@@ -109,6 +120,28 @@ def test_packing_edges(spark):
     assert packing.pack(items.limit(0)).count() == 0
 
 
+def test_bins_hold_every_byte_once(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumn("bytes", F.lit(1)).withColumn("uid", F.lit(2))
+    docs = table.unionByName(table.limit(5)).unionByName(spark.createDataFrame([(None, "no id", 1, 2), (7, None, 1, 2), (8, "", 1, 2), (-5, "é" * 30_000, 1, 2)], table.schema))
+    want = Counter((r["doc_id"], r["text"].encode() + packing.END) for r in docs.collect() if r["text"])
+    parts = defaultdict(list)
+    for r in packing.sequences(docs).collect():
+        assert len(r["tokens"]) == r["bin_tokens"] == sum(r["lengths"]) <= r["bin_capacity"]
+        assert r["bin_capacity"] == min(c for c in packing.CAPACITIES if c >= r["bin_tokens"])
+        at = 0
+        for i, k, start, n in zip(r["doc_ids"], r["pieces"], r["starts"], r["lengths"], strict=True):
+            assert start == k * max(packing.CAPACITIES)
+            parts[i, k].append(bytes(r["tokens"][at : at + n]))
+            at += n
+    got = Counter()
+    for (i, k), own in parts.items():
+        if k == 0:
+            rest = [b"".join(parts[i, x][0] for x in range(1, 100) if (i, x) in parts)] * len(own)
+            got.update((i, a + b) for a, b in zip(own, rest, strict=True))
+    assert got == want
+    assert packing.sequences(docs.limit(0)).count() == 0
+
+
 def test_shards_are_written(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     sharding.write_shards(docs, ["a", "b", "c"], str(tmp_path / "s"))
@@ -211,6 +244,8 @@ def test_pipeline(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     sizes = Counter()
     for r in got.collect():
-        sizes[r["doc_id"]] += r["length"]
+        sizes.update(dict.fromkeys(r["doc_ids"], 0))
+        for i, n in zip(r["doc_ids"], r["lengths"], strict=True):
+            sizes[i] += n
     assert sizes == Counter({i: len(t.encode()) + 1 for i, t in rows.items()})
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and decontaminate
