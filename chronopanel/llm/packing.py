@@ -170,14 +170,18 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ov
 def sequences(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
     """The packed bins, a row each: bin_id, bin_capacity, bin_tokens, and by place in the bin doc_ids, pieces, starts, lengths; tokens.
 
-    tokens holds the byte-level tokens of the whole bin: UTF-8, and END (which UTF-8 has not) after each text. Texts are written once with
-    a number of their own, so that repeated rows stay apart, meet the places of their pieces once, and are cut and dealt to bins.
+    tokens holds the byte-level tokens of the whole bin: UTF-8, and END (which UTF-8 has not) after each text. Rows get numbers, under
+    which their lengths are packed; a text is moved once to meet the places of its pieces, and once, in pieces, to its bins. Rows with
+    equal id and text are one text with places for each.
     """
-    texts = staged(docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("uid")), "pack-texts")
-    placed = pack(texts.select(F.col("uid").alias("doc_id"), byte_tokens(F.col("text")).alias("tokens")), capacities, overhead)
+    key = [F.concat_ws(":", F.lit("id"), F.col("doc_id").cast("string")).alias("key"), F.xxhash64(text_or_empty()).alias("row")]
+    items = staged(docs.select("doc_id", *key, byte_tokens(text_or_empty()).alias("tokens"), F.monotonically_increasing_id().alias("uid")), "pack-rows")
+    placed = pack(items.select(F.col("uid").alias("doc_id"), "tokens"), capacities, overhead)
     places = placed.filter("bin_id is not null").groupBy(F.col("doc_id").alias("uid")).agg(F.collect_list(F.struct("bin_id", "bin_capacity", "bin_tokens", "bin_offset", "piece", "start", "length")).alias("places"))
-    met = texts.join(staged(places, "pack-places"), "uid")
-    met = met.withColumn("bytes", F.concat(F.col("text").cast("binary"), F.lit(END)))
+    places = staged(items.select("uid", "key", "row").join(staged(places, "pack-places"), "uid").drop("uid"), "pack-texts")
+    one = Window.partitionBy("key", "row").orderBy(F.lit(0))
+    texts = docs.select("doc_id", *key, text_or_empty().alias("text")).filter("text <> ''").withColumn("n", F.row_number().over(one)).filter("n = 1")
+    met = texts.join(places.hint("merge"), ["key", "row"]).withColumn("bytes", F.concat(F.col("text").cast("binary"), F.lit(END)))
     cut = met.select("doc_id", F.explode(F.expr("transform(places, p -> struct(p.bin_id as bin_id, p.bin_capacity as bin_capacity, p.bin_tokens as bin_tokens, p.bin_offset as bin_offset, p.piece as piece, p.start as start, p.length as length, substring(bytes, cast(p.start as int) + 1, p.length) as content))")).alias("p"))
     inside = F.sort_array(F.collect_list(F.struct("p.bin_offset", "doc_id", "p.piece", "p.start", "p.length", "p.content")))
     bins = cut.groupBy("p.bin_id").agg(F.first("p.bin_capacity").alias("bin_capacity"), F.first("p.bin_tokens").alias("bin_tokens"), inside.alias("own"))
