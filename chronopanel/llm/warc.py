@@ -69,7 +69,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, warc
     """Write one WARC record per row below path; the payload is shuffled once, by page."""
     revisits = resolve_revisits(pages, min_bytes)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    by_page = _headers(pages).repartition(int(total // file_bytes) + 1, "page_id", "digest")
+    files = max(int(total // file_bytes) + 1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # fewer, and the join deals again
+    by_page = _headers(pages).repartition(files, "page_id", "digest")
     copies = Window.partitionBy("page_id", "digest").orderBy(F.lit(0))  # follows the join's partitioning
     rows = by_page.join(revisits, ["page_id", "digest"], "left").withColumn("copy", F.row_number().over(copies))
     lines = record_text(rows, warc_date)
