@@ -102,24 +102,6 @@ def filtered(df: DataFrame, prm: Params, series: str = "series", value: str = "e
     return picked.groupBy(series).applyInPandas(run, f"{series} {types[series]}, {order} {types[order]}, {value} double, sigma2 double, sigma double, z double")
 
 
-def scan_11(df: DataFrame, prm: Params, value: str = "e", order: str = "date") -> DataFrame:
-    """The path of one short series by a JVM scan (o = p = 1): order, value, sigma2. Memory is that of one array."""
-    rows = df.agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("r"), F.var_pop(value).alias("v"))
-    first = F.log(F.greatest(F.col("v"), F.lit(FLOOR)))
-    kappa = prm.kappa
-
-    def step(acc: Column, x: Column) -> Column:
-        z = acc["e"] / F.exp(acc["ln"] / 2)
-        nxt = F.lit(prm.omega) + F.lit(prm.beta[0]) * acc["ln"] + F.lit(prm.alpha[0]) * (F.abs(z) - F.lit(kappa)) + F.lit(prm.gamma[0]) * z
-        nxt = F.greatest(F.least(F.greatest(nxt, F.lit(-BOUND)), F.lit(BOUND)), F.lit(math.log(FLOOR)))
-        ln = F.when(F.size(acc["out"]) == 0, acc["ln"]).otherwise(nxt)
-        return F.struct(ln.alias("ln"), x[value].alias("e"), F.concat(acc["out"], F.array(ln)).alias("out"))
-
-    start = F.struct(first.alias("ln"), F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("out"))
-    path = rows.select("r", F.aggregate("r", start, step, lambda a: a["out"]).alias("ln"))
-    return path.select(F.explode(F.arrays_zip(F.col("r").alias("r"), F.col("ln").alias("ln"))).alias("x")).select(f"x.r.{order}", f"x.r.{value}", F.exp("x.ln").alias("sigma2"))
-
-
 def one_step(e_last: Column, s2_last: Column, prm: Params) -> Column:
     """Next variance from the last shock and variance (o = p = 1)."""
     z = e_last / F.sqrt(F.greatest(s2_last, F.lit(FLOOR)))

@@ -89,6 +89,8 @@ def with_all_features(df: DataFrame) -> DataFrame:
 
 
 def with_lags(df: DataFrame, columns: list[str], lags: tuple[int, ...] = LAGS) -> DataFrame:
+    if any(k <= 0 for k in lags):
+        raise ValueError(f"lags are positive, not {lags}")
     w = by_date()
     return df.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in lags})
 

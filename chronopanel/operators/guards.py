@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +55,20 @@ def assert_fold(train_start: int, train_end: int, val_start: int, val_end: int,
     """A fold's positions: train strictly before validation, both inside the data."""
     if not 0 <= train_start < train_end <= val_start < val_end <= size:
         raise ValueError(f"fold [{train_start}, {train_end}) / [{val_start}, {val_end}) of {size} looks ahead or out of range")
+
+
+def require_keys(result: dict, keys: Iterable[str], lengths: dict[str, int] | None = None, equal: dict | None = None) -> dict:
+    """A test's result has the keys, lists of the given lengths, and the given values."""
+    missing = sorted({*keys, *(lengths or {}), *(equal or {})} - set(result))
+    wrong = [k for k, n in (lengths or {}).items() if k in result and len(result[k]) != n] + [k for k, v in (equal or {}).items() if k in result and result[k] != v]
+    if missing or wrong:
+        raise ValueError(f"missing {missing}, unexpected {wrong}")
+    return result
+
+
+def require_report(report: dict, tests: Iterable[str] = ("ljung_box", "ljung_box_squared", "arch_lm")) -> dict:
+    """A report holds a result of its own for each test."""
+    require_keys(report, tests)
+    if loose := [t for t in tests if not isinstance(report[t], dict)]:
+        raise ValueError(f"no results: {loose}")
+    return report

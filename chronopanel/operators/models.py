@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.ranks import positions
+from chronopanel.sources.staging import staged
 
 from . import evaluate
 from .datasets import TARGET, features_of
@@ -22,8 +23,12 @@ GRID = {"maxDepth": (3, 5), "stepSize": (0.1,), "maxIter": (20,)}
 REGISTRY = {"gbt": GBTRegressor, "forest": RandomForestRegressor, "linear": LinearRegression}
 
 
+def inputs_of(df: DataFrame, target: str) -> list[str]:
+    return [c for c in features_of(df) if c not in (target, "fold")]
+
+
 def train(df: DataFrame, params: dict | None = None, target: str = TARGET, inputs: list[str] | None = None, kind: str = "gbt") -> PipelineModel:
-    inputs = inputs or features_of(df)
+    inputs = inputs or inputs_of(df, target)
     model = REGISTRY[kind](labelCol=target, featuresCol="features", predictionCol="pred", **(params or {}))
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), model]).fit(df)
 
@@ -50,10 +55,10 @@ def fold_dates(df: DataFrame, n_splits: int = 5) -> DataFrame:
 
 def cross_validate(df: DataFrame, params: dict, n_splits: int = 5, target: str = TARGET, kind: str = "gbt") -> list[float]:
     """RMSE of each fold; a model sees only dates before its fold."""
-    folds = fold_dates(df, n_splits)
+    folds = staged(fold_dates(df, n_splits), "folds")  # every fit reads it
     out = []
     for k in range(1, n_splits + 1):
-        model = train(folds.filter(F.col("fold") < k), params, target, features_of(df), kind)
+        model = train(folds.filter(F.col("fold") < k), params, target, inputs_of(df, target), kind)
         out.append(evaluate.regression_metrics(model.transform(folds.filter(F.col("fold") == k)), target, "pred").first()["rmse"])
     return out
 
@@ -81,7 +86,19 @@ def choose(df: DataFrame, grids: dict[str, dict], n_splits: int = 3, target: str
             score = sum(found) / len(found)
             if best is None or score < best[0]:
                 best = (score, kind, params)
-    return best[1], best[2], train(train_rows, best[2], target, features_of(df), best[1])
+    return best[1], best[2], train(train_rows, best[2], target, inputs_of(df, target), best[1])
+
+
+def primary_labels(df: DataFrame, grids: dict[str, dict], target: str = "log_return", n_splits: int = 5, **barriers) -> tuple[str, dict, DataFrame]:
+    """The kind and parameters chosen over time folds of the train rows, and df with primary_pred and barrier labels of the test rows.
+
+    df: date, ticker, close, split, target and inputs; the price is no input. Train rows keep a null label.
+    """
+    from .labels import test_only, triple_barrier
+
+    labelled = test_only(triple_barrier(df, **barriers))
+    kind, params, model = choose(df.drop("close"), grids, n_splits, target)
+    return kind, params, model.transform(labelled).withColumnRenamed("pred", "primary_pred").drop("features")
 
 
 def shuffled_target(df: DataFrame, target: str = TARGET, seed: int = 42, rows_a_group: int = 50_000) -> DataFrame:
@@ -100,7 +117,7 @@ def shuffled_target(df: DataFrame, target: str = TARGET, seed: int = 42, rows_a_
 
 def leakage_test(df: DataFrame, params: dict | None = None, target: str = TARGET, seed: int = 42) -> DataFrame:
     """r2 on test after training on a shuffled target, and whether it betrays a leak."""
-    model = train(shuffled_target(df.filter("split = 'train'"), target, seed), params, target, features_of(df))
+    model = train(shuffled_target(df.filter("split = 'train'"), target, seed), params, target, inputs_of(df, target))
     got = evaluate.regression_metrics(model.transform(df.filter("split = 'test'")), target, "pred")
     return got.select("n", "r2", (F.coalesce("r2", F.lit(0.0)) > LEAKAGE_R2).alias("leak"))
 

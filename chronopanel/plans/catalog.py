@@ -495,11 +495,6 @@ def egarch_path_11(spark, d):
     return _log_path(spark, d, PRM)
 
 
-@query(_path_sql(PRM, _PATH))
-def egarch_path_11_scan(spark, d):
-    return rounded(egarch.scan_11(_series(spark, d), PRM).select("date", F.log("sigma2").alias("log_sigma2")))
-
-
 @query(_path_sql(PRM_21, _PATH))
 def egarch_path_21(spark, d):
     return _log_path(spark, d, PRM_21)
@@ -785,6 +780,17 @@ def heteroskedasticity(spark, d):
     return _report(spark, {"arch_lm": diagnostics.arch_lm(df, "e"), "breusch_pagan": diagnostics.trend_lm(df, "e", 2), "white": diagnostics.trend_lm(df, "e", 4), "joint_sign_bias": diagnostics.joint_sign_bias(df, "e")})
 
 
+_TREND = """bt AS (SELECT e * e AS y, row_number() OVER (ORDER BY date) - 1 AS t FROM res),
+bx AS (SELECT y, (t - avg(t) OVER ()) / stddev_pop(t) OVER () AS x1 FROM bt),
+bc AS (SELECT count(*) AS n, corr(y, x1) AS a, corr(y, x1 * x1) AS b, corr(x1, x1 * x1) AS c FROM bx),
+bp AS (SELECT n * (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS lm FROM bc)"""
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, _TREND, f"SELECT 'breusch_pagan' AS test, {S.r('lm', 'statistic')}, {S.r('exp(-lm / 2)', 'p_value')} FROM bp"))
+def breusch_pagan(spark, d):
+    return _report(spark, {"breusch_pagan": diagnostics.trend_lm(_residuals(spark, d), "e", 2)})
+
+
 _SIGN = """sb AS (SELECT e * e AS y, lag(e) OVER (ORDER BY date) AS b FROM res),
 sx AS (SELECT y, CAST(b < 0 AS DOUBLE) AS negative, CASE WHEN b < 0 THEN b ELSE 0.0 END AS negative_size, CASE WHEN b < 0 THEN 0.0 ELSE b END AS positive_size FROM sb WHERE b IS NOT NULL)"""
 
@@ -862,6 +868,16 @@ def kpss_by_ticker(spark, d):
     return rounded(diagnostics.stationarity(rows).select("series", "n", "kpss", "kpss_p"))
 
 
+_AD = f"""az AS (SELECT (e - avg(e) OVER ()) / stddev_samp(e) OVER () AS z FROM res),
+af AS (SELECT row_number() OVER (ORDER BY z) AS i, count(*) OVER () AS n, greatest(1e-15, least(1 - 1e-15, 0.5 + sign(z) * {S.integral(lambda u: f"exp(-{u} * {u} / 2)", "abs(z)")} / sqrt(2 * pi()))) AS f FROM az),
+ad AS (SELECT a.n, a.i, a.f, b.f AS g FROM af a JOIN af b ON b.i = a.n + 1 - a.i)"""
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, _AD, f"SELECT 'index' AS series, CAST(any_value(n) AS INT) AS n, {S.r('-any_value(n) - sum((2 * i - 1) * (ln(f) + ln(1 - g))) / any_value(n)', 'anderson_darling')} FROM ad"))
+def anderson_darling(spark, d):
+    return rounded(diagnostics.normality(_series(spark, d).withColumnRenamed("e", "value")).select("series", "n", "anderson_darling"))
+
+
 @query()
 def normality(spark, d):
     return rounded(diagnostics.normality(_series(spark, d).withColumnRenamed("e", "value")))
@@ -943,14 +959,16 @@ def meta_label(spark, d):
 # Models on the few long histories
 
 
+_INPUTS = ["log_volatility_lag_1", "log_volatility_lag_2", "log_return_lag_1", "obv", "atr", "day_of_week"]
+
+
 def _model_table(spark, d) -> DataFrame:
     df = features.with_volatility(features.with_all_features(panels.panel_prio(spark, d)))
     df = features.with_next_target(features.with_lags(df, ["log_volatility", "log_return"]))
-    cols = ["log_volatility_lag_1", "log_volatility_lag_2", "log_return_lag_1", "obv", "atr", "day_of_week"]
-    return splits.split_by_distinct_dates(df.select("date", "ticker", "log_volatility", *cols).na.drop())
+    return splits.split_by_distinct_dates(df.select("date", "ticker", "log_volatility", *_INPUTS).na.drop())
 
 
-_SMALL = {"maxDepth": 3, "maxIter": 5}
+_SMALL = {"maxDepth": 3, "maxIter": 20}
 
 
 @query()
@@ -960,14 +978,14 @@ def gbt_train_eval(spark, d):
 
 @query()
 def cv_grid(spark, d):
-    return rounded(models.tune(_model_table(spark, d), {"maxDepth": (2, 3), "maxIter": (3,)}, 2), 4)
+    return rounded(models.tune(_model_table(spark, d), {"maxDepth": (2, 3), "maxIter": (5,)}, 5), 4)
 
 
 @query()
 def permutation_importance(spark, d):
     df = _model_table(spark, d)
     model = models.train(df.filter("split = 'train'"), _SMALL)
-    return rounded(models.block_permutation(df.filter("split = 'test'"), model, ["log_volatility_lag_1", "obv"], repeats=3), 4)
+    return rounded(models.block_permutation(df.filter("split = 'test'"), model, _INPUTS, repeats=10), 4)
 
 
 @query()
@@ -977,7 +995,7 @@ def leakage_shuffle(spark, d):
 
 @query()
 def model_choice(spark, d):
-    kind, params, model = models.choose(_model_table(spark, d), {"linear": {"regParam": (0.0, 0.1)}, "forest": {"maxDepth": (3,), "numTrees": (5,)}}, 2)
+    kind, params, model = models.choose(_model_table(spark, d), {"linear": {"regParam": (0.0, 0.1)}, "forest": {"maxDepth": (3,), "numTrees": (20,)}}, 5)
     test = model.transform(_model_table(spark, d).filter("split = 'test'"))
     return rounded(evaluate.regression_metrics(test, "log_volatility", "pred").withColumn("kind", F.lit(kind)).withColumn("params", F.lit(str(params))), 4)
 

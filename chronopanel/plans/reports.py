@@ -121,3 +121,36 @@ def egarch_starts(spark, d):
     v = F.var_pop("e")
     rows = _prio_residuals(spark, d).filter("e is not null").groupBy("series")
     return rounded(rows.agg(F.count("e").alias("n"), F.avg("e").alias("mean"), v.alias("variance"), (F.lit(0.05) * F.log(F.greatest(v, F.lit(FLOOR)))).alias("omega")))
+
+
+@query(S.with_(S.PRIO, f"SELECT ticker, date, {S.r('close')}, volume FROM prio"))
+def volume_from_base(spark, d):
+    """The first table that exists has no volume, so the base's is joined."""
+    whole, stem = panels.panel_prio(spark, d), fresh_path(spark, "quotes")
+    whole.select("date", F.col("ticker").alias("tickers"), "close").write.parquet(f"{stem}-plain.parquet")
+    whole.select("date", F.col("ticker").alias("tickers"), "volume").write.parquet(f"{stem}-base.parquet")
+    df = files.first_available(spark, [f"{stem}-insights", f"{stem}-plain"], f"{stem}-base")
+    return rounded(df.select("ticker", "date", "close", "volume"))
+
+
+_BARRIER = """tb AS (SELECT ticker, date, close, max(close) OVER f AS hi, min(close) OVER f AS lo, lead(close, 6) OVER w IS NOT NULL AS whole FROM pv
+  WINDOW w AS (PARTITION BY ticker ORDER BY date), f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+lb AS (SELECT ticker, date, CASE WHEN hi >= close * 1.02 THEN 1 WHEN lo <= close * 0.98 THEN -1 WHEN whole THEN 0 END AS label FROM tb)"""
+
+
+@query(S.with_(
+    S.PRIO,
+    "pl AS (SELECT *, ln(close / lag(close) OVER w) AS r, lag(close) OVER w AS c1, lag(close, 2) OVER w AS c2, lag(close, 3) OVER w AS c3 FROM prio WINDOW w AS (PARTITION BY ticker ORDER BY date))",
+    "pv AS (SELECT * FROM pl WHERE r IS NOT NULL AND c3 IS NOT NULL)",
+    "pd AS (SELECT date, row_number() OVER (ORDER BY date) AS n, count(*) OVER () AS k FROM (SELECT DISTINCT date FROM pv))",
+    _BARRIER,
+    "SELECT lb.ticker, lb.date, CAST(CASE WHEN n > floor(k * 0.8) THEN label END AS INT) AS triple_barrier_label, TRUE AS predicted FROM lb JOIN pd ON pd.date = lb.date",
+))
+def label_primary(spark, d):
+    """A primary model of the return chosen over five time folds, its predictions, and barrier labels of the test rows."""
+    from chronopanel.operators import features, models
+
+    df = features.with_lags(features.log_returns(panels.panel_prio(spark, d)), ["log_return"], (1, 2))
+    df = splits.split_by_distinct_dates(df.select("date", "ticker", "close", "log_return", "log_return_lag_1", "log_return_lag_2").na.drop())
+    _, _, out = models.primary_labels(df, {"linear": {"regParam": (0.0, 0.1)}, "forest": {"maxDepth": (3,), "numTrees": (10,)}})
+    return out.select("ticker", "date", "triple_barrier_label", F.col("primary_pred").isNotNull().alias("predicted"))

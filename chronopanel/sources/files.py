@@ -74,6 +74,27 @@ def read_tickers(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.trim("ticker").alias("ticker")).filter("ticker <> ''").distinct()
 
 
+def with_volume(df: DataFrame, base: DataFrame | None) -> DataFrame:
+    """df with the volume of base by date and ticker, where df has none of its own; base may call tickers either way."""
+    if "volume" in df.columns or base is None:
+        return df
+    base = base.withColumnRenamed("tickers", "ticker")
+    return df.join(require_columns(base, ["date", "ticker", "volume"], "base").select("date", "ticker", "volume"), ["date", "ticker"], "left")
+
+
+def first_available(spark: SparkSession, paths: Iterable[str], base: str | None = None) -> DataFrame:
+    """The first table of paths that exists (insights before plain ones), tickers named alike, with the volume of base if it lacks one."""
+    for path in paths:
+        try:
+            df = read_table(spark, path, dates=["date"])
+        except FileNotFoundError:
+            continue
+        if "ticker" not in df.columns:
+            df = require_columns(df, ["tickers"], path).withColumnRenamed("tickers", "ticker")
+        return with_volume(df, read_table(spark, base, dates=["date"]) if base and "volume" not in df.columns else None)
+    raise FileNotFoundError(", ".join(paths))
+
+
 def ingest(raw: DataFrame) -> DataFrame:
     """Downloaded quotes to (date, tickers, high, low, close, volume): renamed, complete rows only."""
     df = raw

@@ -58,3 +58,22 @@ def test_column_rules(spark):
 def test_week_ends_on_sunday(spark):
     rows = spark.sql("SELECT DATE'2024-01-07' + i AS d FROM (SELECT explode(sequence(0, 13)) AS i)").select("d", columns.week_end(F.col("d")).alias("w")).collect()
     assert all(r["w"].isoweekday() == 7 and 0 <= (r["w"] - r["d"]).days < 7 for r in rows)
+
+
+def test_distribution_functions_of_arrays():
+    import numpy as np
+
+    x = np.concatenate([np.linspace(-12, 12, 49), [0.0, 1e-9, 300.0, -300.0]])
+    for nu in (2.7, 7.3, 40.0):
+        np.testing.assert_allclose(special.t_cdf_array(x, nu), [special.t_cdf(float(v), nu) for v in x], atol=1e-13)
+        p = np.array([1e-6, 0.01, 0.3, 0.5, 0.9, 0.999])
+        np.testing.assert_allclose(special.t_ppf_array(p, nu), [special.t_ppf(float(v), nu) for v in p], rtol=1e-9, atol=1e-9)
+
+
+def test_p_values_of_unit_root_tests():
+    assert special.mackinnon_p(-2.861) == pytest.approx(0.05, abs=2e-3) and special.mackinnon_p(-3.43) == pytest.approx(0.01, abs=1e-3)
+    assert special.mackinnon_p(-3.41, "ct") == pytest.approx(0.05, abs=2e-3)
+    assert special.mackinnon_p(5.0) == 1.0 and special.mackinnon_p(-30.0) == 0.0
+    assert special.kpss_p(0.463) == 0.05 and special.kpss_p(0.146, "ct") == 0.05
+    assert special.kpss_p(9.0) == 0.01 and special.kpss_p(0.0) == 0.1
+    assert special.kolmogorov_sf(1.36 / 1000**0.5, 1000) == pytest.approx(0.05, abs=2e-3) and special.kolmogorov_sf(1e-6, 100) == 1.0

@@ -73,10 +73,24 @@ def test_variance_path(spark, prm):
     np.testing.assert_allclose(got, plain_path(e, prm), rtol=1e-10)
 
 
-def test_scan_equals_path(spark):
+def test_likelihood_as_an_aggregation(spark):
     e = noise(150, scale=0.02)
-    got = [r["sigma2"] for r in egarch.scan_11(series(spark, e), PRM).orderBy("date").collect()]
-    np.testing.assert_allclose(got, egarch.variance_path(e, PRM), rtol=1e-9)
+    path = egarch.filtered(series(spark, e), PRM)
+    got = egarch.student_loglik(path, PRM.nu).first()
+    assert got["n"] == 150 and got["loglik"] == pytest.approx(egarch.loglik(e, egarch.variance_path(e, PRM), "student", PRM.nu))
+
+
+def test_primary_labels(spark):
+    rng = np.random.default_rng(4)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(120)]
+    r = rng.normal(0, 0.02, 121)
+    pdf = pd.DataFrame({"date": days, "ticker": "a", "close": 100 * np.exp(np.cumsum(r[1:])), "log_return": r[1:], "log_return_lag_1": r[:-1]})
+    df = splits.split_by_distinct_dates(spark.createDataFrame(pdf))
+    kind, params, out = models.primary_labels(df, {"linear": {"regParam": (0.0, 1.0)}}, n_splits=2)
+    rows = out.collect()
+    assert kind == "linear" and "regParam" in params and len(rows) == 120 and all(x["primary_pred"] is not None for x in rows)
+    assert all(x["triple_barrier_label"] is None for x in rows if x["split"] == "train") and any(x["triple_barrier_label"] is not None for x in rows)
+    assert "log_return" not in models.inputs_of(df, "log_return")  # what is predicted is no input
 
 
 def test_forecast_ignores_the_shock_of_its_own_day(spark):
@@ -211,8 +225,8 @@ def test_normality_and_distance(spark):
     r = diagnostics.normality(df).first()
     assert r["anderson_darling"] < 1.2 and r["shapiro_francia"] > 0.98
     assert diagnostics.normality(df.limit(2)).first()["anderson_darling"] is None
-    assert diagnostics.kolmogorov_smirnov(df, "value", special.normal_cdf) < 0.1
-    qq = diagnostics.qq_table(df, "value", special.normal_ppf).orderBy("position").collect()
+    assert diagnostics.kolmogorov_smirnov(df, "value", np.vectorize(special.normal_cdf))["distance"] < 0.1
+    qq = diagnostics.qq_table(df, "value", np.vectorize(special.normal_ppf)).orderBy("position").collect()
     assert np.corrcoef([r["value"] for r in qq], [r["theoretical"] for r in qq])[0, 1] > 0.98
     z = pd.Series(noise(300))
     m = diagnostics.moments(df, "value").first()

@@ -180,3 +180,47 @@ def test_files_roundtrip(spark, tmp_path):
     covered = files.covered_tickers(files.ingest(raw), "2020-01-01", "2020-02-01")
     assert covered.count() == 1
     assert [r[0] for r in files.failed_tickers(spark.createDataFrame([("A",), ("C",)], "ticker string"), covered).collect()] == ["C"]
+
+
+def test_result_guards(spark):
+    assert guards.require_keys({"lm": 1.0, "q": [1, 2], "df": 2}, ["lm"], {"q": 2}, {"df": 2})
+    for bad in ((["p"], {}, {}), ([], {"q": 3}, {}), ([], {}, {"df": 3})):
+        with pytest.raises(ValueError):
+            guards.require_keys({"lm": 1.0, "q": [1, 2], "df": 2}, *bad)
+    with pytest.raises(ValueError):
+        guards.require_report({"ljung_box": {}, "ljung_box_squared": {}, "arch_lm": 1.0})
+    df = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0)], "ticker string, date date, close double")
+    with pytest.raises(ValueError):
+        features.with_lags(df, ["close"], (0,))
+
+
+def test_volume_of_the_base(spark, tmp_path):
+    base = spark.createDataFrame([(dt.date(2020, 1, 1), "a", 5.0), (dt.date(2020, 1, 2), "b", 6.0)], "date date, tickers string, volume double")
+    df = spark.createDataFrame([(dt.date(2020, 1, 1), "a", 1.0), (dt.date(2020, 1, 3), "a", 2.0)], "date date, ticker string, close double")
+    assert sorted((r["close"], r["volume"]) for r in files.with_volume(df, base).collect()) == [(1.0, 5.0), (2.0, None)]
+    own = df.withColumn("volume", F.lit(1.0))
+    assert files.with_volume(own, base) is own and files.with_volume(df, None) is df
+    with pytest.raises(FileNotFoundError):
+        files.first_available(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+
+
+def test_loss_difference_over_several_days(spark):
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i // 3), float(i % 5), float((i * 7) % 4)) for i in range(90)]
+    df = spark.createDataFrame(rows, "date date, a double, b double")
+    from chronopanel.operators import evaluate
+
+    got = evaluate.diebold_mariano(df, "a", "b", h=3).first()
+    d = np.array([x * x - y * y for _, x, y in rows])
+    c = d.reshape(30, 3).mean(axis=1) - d.mean()
+    v = d.var(ddof=1) + 2 * sum((c[k:] * c[:-k]).mean() for k in (1, 2))
+    assert got["n"] == 90 and got["variance"] == pytest.approx(v)
+
+
+def test_plotting_sample_is_every_kth_day(spark):
+    from chronopanel.operators import selection
+
+    days = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(i), float(i)) for i in range(107)], "date date, v double")
+    assert sorted(r["v"] for r in selection.plotting_sample(days.repartition(5), 20).collect()) == [float(i) for i in range(0, 107, 5)]
+    assert selection.plotting_sample(days, 20, "random").count() == 20
+    with pytest.raises(ValueError):
+        selection.plotting_sample(days, 20, "none")
