@@ -9,8 +9,9 @@ Template: <|im_start|>role\\ntext<|im_end|>\\n. Inside roles and texts \\ become
 and leaves no control string. Loss spans are code-point ranges of the formatted string that hold assistant texts.
 
 Defined cases: a null text or role is empty; a null conversation id is a conversation of its own; turns that tie are
-ordered by role and text; repeated turns are all kept; an empty table gives no rows. A conversation is one row of the
-result, so it has to fit in memory; nothing else is gathered per conversation.
+ordered by role and text; repeated turns are all kept; an empty table gives no rows; other columns are ignored, whatever their names;
+texts may be long, but a conversation is one row of the result, so it has to fit in memory: nothing else is gathered per
+conversation. The conversation id -2^63 stands for null.
 """
 
 from __future__ import annotations

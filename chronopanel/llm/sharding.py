@@ -5,7 +5,7 @@ shards take turns claiming their next free slot until the table is full. The tab
 data, so it is broadcast; a row is placed by one hash and one lookup. Adding or removing a shard moves few slots.
 
 Defined cases: a null key has a slot of its own hash; repeated keys go to one shard; columns named slot or shard are
-replaced; an empty table gives no rows.
+replaced, others are kept; rows are moved by write_shards only, whole, so texts may be long; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ fingerprints are cut into chunks and all pairs of chunks are dealt over the clus
 alternating large-star and small-star steps on written tables.
 
 Defined cases: null texts are empty; no words give fingerprint zero, linked like any other; a null doc_id has its
-component's smallest id; a component of null ids only has null; repeated rows share their component.
+component's smallest id; a component of null ids only has null; repeated rows share their component; whole texts are hashed, however
+long; no documents give no rows; near_duplicates ignores other columns, one_of_each keeps them whatever their names.
 """
 
 from __future__ import annotations

@@ -249,3 +249,33 @@ def test_pipeline(spark, sf):
             sizes[i] += n
     assert sizes == Counter({i: len(t.encode()) + 1 for i, t in rows.items()})
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and decontaminate
+
+
+def test_chats_ignore_other_columns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "word " * 20_000)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    more = plain
+    for c in ("tree", "node", "parent", "score", "depth", "turns", "loss", "a.b"):
+        more = more.withColumn(c, F.lit(c))
+    both = [[tuple(map(tuple, r["turns"])) for r in chat.read_back(chat.conversations_as_chats(df)).collect()] for df in (plain, more)]
+    assert both[0] == both[1] == [(("user", "hi"), ("assistant", "word " * 20_000))]
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ("row", "norm", "key", "__copy", "id", "whole")
+    rows = [(1, None), (2, ""), (3, " "), (None, "a text without an id " * 9), (5, "word " * 30_000), (6, "one two three"), (6, "one two three"), (7, "one  two\tthree")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("lang", "source", *names):
+        docs = docs.withColumn(c, F.lit(c))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for kind, df in (("some", docs), ("none", docs.limit(0))):
+        df.write.parquet(str(tmp_path / kind / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / kind / f"{t}.parquet"))
+        kept = spark.read.parquet(str(tmp_path / kind / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path / kind))
+            assert kept.columns == docs.columns
+        ids = [i for r in corpus_pipeline.run(spark, str(tmp_path / kind)).collect() for i in r["doc_ids"]]
+        assert set(ids) == ({None, 5, 6} if kind == "some" else set())  # 1 stands for the texts without words and has no bin
