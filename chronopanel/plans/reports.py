@@ -154,3 +154,29 @@ def label_primary(spark, d):
     df = splits.split_by_distinct_dates(df.select("date", "ticker", "close", "log_return", "log_return_lag_1", "log_return_lag_2").na.drop())
     _, _, out = models.primary_labels(df, {"linear": {"regParam": (0.0, 0.1)}, "forest": {"maxDepth": (3,), "numTrees": (10,)}})
     return out.select("ticker", "date", "triple_barrier_label", F.col("primary_pred").isNotNull().alias("predicted"))
+
+
+@query()
+def shap_ranking(spark, d):
+    """Shapley importances of a boosted model on the test rows."""
+    from chronopanel.operators import attribution, models
+
+    from .catalog import _SMALL, _model_table
+
+    df = _model_table(spark, d)
+    model = models.train(df.filter("split = 'train'"), _SMALL)
+    return rounded(attribution.shap_importance(model, df.filter("split = 'test'")), 4)
+
+
+@query("SELECT TRUE AS adds_up, CAST(0 AS BIGINT) AS n_off")
+def shap_adds_up(spark, d):
+    """Base and values of every test row add up to its forecast."""
+    from chronopanel.operators import attribution, models
+
+    from .catalog import _model_table
+
+    df = _model_table(spark, d)
+    model = models.train(df.filter("split = 'train'"), {"maxDepth": 3, "maxIter": 5})
+    rows = attribution.shap_values(model, df.filter("split = 'test'"))
+    off = F.abs(F.aggregate("values", F.col("base"), lambda a, v: a + v) - F.col("pred")) > 1e-9
+    return rows.agg(F.count_if(off).alias("n_off")).select((F.col("n_off") == 0).alias("adds_up"), "n_off")

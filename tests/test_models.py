@@ -271,3 +271,33 @@ def test_streams(spark, sf, tmp_path):
     for _, g in rows.groupby("series"):
         g = g.sort_values("ts")
         np.testing.assert_allclose(g.sigma2, egarch.variance_path(g.e.to_numpy(), PRM, 1.0), rtol=1e-8)
+
+
+@pytest.mark.parametrize("kind", ["gbt", "forest"])
+def test_shapley_values_against_all_subsets(spark, kind):
+    from itertools import combinations
+
+    from chronopanel.operators import attribution
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    pdf = pd.DataFrame(x, columns=list("abcd")).assign(log_volatility=x[:, 0] * x[:, 1] + np.abs(x[:, 2]), date=dt.date(2020, 1, 1), ticker="t")
+    df = spark.createDataFrame(pdf)
+    sizes = {"maxIter": 4, "maxDepth": 4} if kind == "gbt" else {"numTrees": 4, "maxDepth": 4, "seed": 1}
+    model = models.train(df, sizes, inputs=list("abcd"), kind=kind)
+    leaves = attribution.ensemble_leaves(model)
+
+    def value(row, known):
+        return sum(v.value * math.prod((lo < row[f] <= hi) if f in known else v.share[f] for f, (lo, hi) in v.bounds.items()) for v in leaves)
+
+    got = attribution.shapley(leaves, x[:10])
+    for row, mine in zip(x[:10], got, strict=True):
+        assert mine[-1] == pytest.approx(value(row, ()))
+        for f in range(4):
+            rest = [g for g in range(4) if g != f]
+            want = sum(math.factorial(k) * math.factorial(3 - k) / 24 * (value(row, (*s, f)) - value(row, s)) for k in range(4) for s in combinations(rest, k))
+            assert mine[f] == pytest.approx(want, abs=1e-12)
+    rows = attribution.shap_values(model, df).collect()
+    assert len(rows) == 300 and all(sum(r["values"]) + r["base"] == pytest.approx(r["pred"]) for r in rows)
+    places = attribution.shap_importance(model, df).orderBy("place").collect()
+    assert [r["place"] for r in places] == [1, 2, 3, 4] and places[-1]["feature"] == "d"
