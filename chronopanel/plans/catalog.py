@@ -12,6 +12,7 @@ from chronopanel.functions import special
 from chronopanel.functions.columns import crc_code, new_york_date, normalised_ticker, rounded
 from chronopanel.operators import arima, cleaning, comparison, datasets, diagnostics, egarch, evaluate, features, guards, labels, models, refits, selection, splits
 from chronopanel.sources import files, panels
+from chronopanel.sources.staging import staged
 
 from . import sql as S
 
@@ -886,9 +887,16 @@ def normality(spark, d):
 # Learning tables
 
 
+_READY: dict[tuple[str, str], DataFrame] = {}
+
+
 def _learning(spark, d) -> DataFrame:
-    df = panels.panel(spark, d).join(_insight(spark, d), "date", "left")
-    return datasets.prepare(df)
+    """The wide table that all ablations project, written once an application and input."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _READY:
+        df = panels.panel(spark, d).join(_insight(spark, d), "date", "left")
+        _READY[key] = staged(datasets.prepare(df), "learning-ready")
+    return _READY[key]
 
 
 _TECH = features.TECHNICAL
