@@ -10,7 +10,7 @@ from chronopanel.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Long fits; the other files test what they call.
-SLOW = {"cv_grid", "permutation_importance", "leakage_shuffle", "meta_model", "gbt_train_eval", "model_choice"}
+SLOW = {"cv_grid", "permutation_importance", "leakage_shuffle", "meta_model", "gbt_train_eval", "model_choice", "label_primary", "shap_ranking"}
 
 
 def canonical(columns, rows):
