@@ -77,7 +77,7 @@ def kupiec(hits: DataFrame) -> DataFrame:
 
 
 def christoffersen(hits: DataFrame, order: str = "date") -> DataFrame:
-    """alpha, transition counts and lr_ind of independence."""
+    """alpha, transition counts and lr_ind of independence, of a single series: a task orders the days of a level."""
     before = F.lag("hit").over(Window.partitionBy("alpha").orderBy(order))
     pairs = hits.withColumn("__b", before).filter("__b is not null")
     counts = pairs.groupBy("alpha").agg(*(F.count_if((F.col("__b") == i) & (F.col("hit") == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)))
@@ -174,5 +174,8 @@ def naive_forecast(df: DataFrame, target: str = "log_volatility") -> DataFrame:
 
 
 def random_forecast(df: DataFrame, target: str = "log_volatility", seed: int = 42) -> DataFrame:
+    """Normal draws with the target's mean and deviation, from hashes of the row: the same however rows are dealt."""
+    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(*df.columns, F.lit(seed), F.lit(k)), 11) + 0.5) / float(1 << 53)
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
     stats = df.agg(F.avg(target).alias("__m"), F.stddev_pop(target).alias("__s"))
-    return df.join(F.broadcast(stats)).withColumn("pred", F.randn(seed) * F.col("__s") + F.col("__m")).drop("__m", "__s")  # one row
+    return df.withColumn("__z", normal).join(F.broadcast(stats)).withColumn("pred", F.col("__z") * F.col("__s") + F.col("__m")).drop("__m", "__s", "__z")  # one row

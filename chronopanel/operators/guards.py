@@ -28,7 +28,7 @@ def non_positive(df: DataFrame, column: str) -> DataFrame:
 
 
 def interleaved(df: DataFrame) -> DataFrame:
-    """Train rows that follow a test row of the same series."""
+    """Train rows that follow a test row, in a single series."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("__seen", F.max((F.col("split") == "test").cast("int")).over(w)).filter((F.col("split") == "train") & (F.col("__seen") == 1)).drop("__seen")
 

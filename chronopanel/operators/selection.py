@@ -105,7 +105,7 @@ def date_extent(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def described(df: DataFrame, value: str, keys: tuple[str, ...] = ("split",)) -> DataFrame:
-    """n, mean, std, min, quartiles, max by split."""
+    """n, mean, std, min, quartiles, max by split. Quartiles are exact, so a task holds the distinct values of a split: for a single series."""
     v = F.col(value)
     quartiles = [F.percentile(v, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
     return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *quartiles, F.max(v).alias("max"))

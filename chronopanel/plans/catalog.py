@@ -722,7 +722,8 @@ def bootstrap_r2(spark, d):
 
 @query()
 def random_baseline(spark, d):
-    return evaluate.regression_metrics(evaluate.random_forecast(_volatility(spark, d).filter("log_volatility is not null")), "log_volatility", "pred")
+    rows = rounded(_volatility(spark, d).filter("log_volatility is not null").select("ticker", "date", "log_volatility"))
+    return rounded(evaluate.regression_metrics(evaluate.random_forecast(rows), "log_volatility", "pred"))
 
 
 # Diagnostics of the residual series

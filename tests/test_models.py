@@ -301,3 +301,11 @@ def test_shapley_values_against_all_subsets(spark, kind):
     assert len(rows) == 300 and all(sum(r["values"]) + r["base"] == pytest.approx(r["pred"]) for r in rows)
     places = attribution.shap_importance(model, df).orderBy("place").collect()
     assert [r["place"] for r in places] == [1, 2, 3, 4] and places[-1]["feature"] == "d"
+
+
+def test_random_forecast_does_not_depend_on_the_deal(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(4000)], "row long, log_volatility double")
+    one, many = (evaluate.random_forecast(df.repartition(k)).orderBy("row").collect() for k in (1, 6))
+    np.testing.assert_allclose([r["pred"] for r in one], [r["pred"] for r in many], rtol=1e-9)
+    p = np.array([r["pred"] for r in one])
+    assert abs(p.mean() - 3) < 0.15 and abs(p.std() - 2) < 0.15 and p.max() > 7
