@@ -776,12 +776,6 @@ def arch_lm_1(spark, d):
     return rounded(df.agg((F.count(F.lit(1)) - 1).alias("n")).withColumn("lm", F.lit(float(got["lm"]))))
 
 
-@query()
-def heteroskedasticity(spark, d):
-    df = _residuals(spark, d)
-    return _report(spark, {"arch_lm": diagnostics.arch_lm(df, "e"), "breusch_pagan": diagnostics.trend_lm(df, "e", 2), "white": diagnostics.trend_lm(df, "e", 4), "joint_sign_bias": diagnostics.joint_sign_bias(df, "e")})
-
-
 _TREND = """bt AS (SELECT e * e AS y, row_number() OVER (ORDER BY date) - 1 AS t FROM res),
 bx AS (SELECT y, (t - avg(t) OVER ()) / stddev_pop(t) OVER () AS x1 FROM bt),
 bc AS (SELECT count(*) AS n, corr(y, x1) AS a, corr(y, x1 * x1) AS b, corr(x1, x1 * x1) AS c FROM bx),
@@ -797,6 +791,36 @@ _SIGN = """sb AS (SELECT e * e AS y, lag(e) OVER (ORDER BY date) AS b FROM res),
 sx AS (SELECT y, CAST(b < 0 AS DOUBLE) AS negative, CASE WHEN b < 0 THEN b ELSE 0.0 END AS negative_size, CASE WHEN b < 0 THEN 0.0 ELSE b END AS positive_size FROM sb WHERE b IS NOT NULL)"""
 
 
+_LM = (
+    "lw AS (SELECT e * e AS y, " + ", ".join(f"lag(e * e, {k}) OVER (ORDER BY date) AS l{k}" for k in range(1, 13)) + " FROM res)",
+    "lc AS (SELECT * FROM lw WHERE l12 IS NOT NULL)",
+    S.unexplained("al", "lc", "y", [f"l{k}" for k in range(1, 13)]),
+    _TREND,
+    "wx AS (SELECT y, x1, power(x1, 2) AS x2, power(x1, 3) AS x3, power(x1, 4) AS x4 FROM bx)",
+    S.unexplained("wh", "wx", "y", ["x1", "x2", "x3", "x4"]),
+    _SIGN,
+    S.unexplained("js", "sx", "y", ["negative", "negative_size", "positive_size"]),
+    "jf AS (SELECT ((1 - rest) / 3) / (rest / (n - 4)) AS f, CAST(n - 4 AS DOUBLE) AS d2 FROM js)",
+)
+
+
+@query(
+    S.with_(
+        S.INDEX,
+        S.RESIDUALS,
+        *_LM,
+        f"SELECT 'arch_lm' AS test, {S.r('n * (1 - rest)', 'statistic')}, {S.r(S.chi2_sf_even('n * (1 - rest)', 12), 'p_value')} FROM al"
+        f" UNION ALL SELECT 'breusch_pagan', {S.r('lm')}, {S.r('exp(-lm / 2)', 'p')} FROM bp"
+        f" UNION ALL SELECT 'white', {S.r('n * (1 - rest)', 'lm')}, {S.r(S.chi2_sf_even('n * (1 - rest)', 4), 'p')} FROM wh"
+        f" UNION ALL SELECT 'joint_sign_bias', {S.r('f')}, {S.r(S.f_sf('f', 3, 'd2'), 'p')} FROM jf",
+        recursive=True,
+    )
+)
+def heteroskedasticity(spark, d):
+    df = _residuals(spark, d)
+    return _report(spark, {"arch_lm": diagnostics.arch_lm(df, "e"), "breusch_pagan": diagnostics.trend_lm(df, "e", 2), "white": diagnostics.trend_lm(df, "e", 4), "joint_sign_bias": diagnostics.joint_sign_bias(df, "e")})
+
+
 def _slope_sql(c: str) -> str:
     return f"SELECT '{c}' AS test, {S.r(f'regr_slope(y, {c})', 'slope')}, {S.r(f'regr_slope(y, {c}) / sqrt(regr_syy(y, {c}) * (1 - regr_r2(y, {c})) / (count(*) - 2) / regr_sxx(y, {c}))', 't')}, count(*) AS n FROM sx"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 PANEL = """panel AS (
@@ -80,3 +81,27 @@ def t_half(x: str, df: str) -> str:
     """Student probability between 0 and x >= 0."""
     inner = integral(lambda u: f"power(1 + {u} * {u} / ({df}), -(({df}) + 1) / 2.0)", x)
     return f"({inner} * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()))"
+
+
+def unexplained(name: str, source: str, y: str, xs: list[str]) -> str:
+    """CTEs name(n, rest): rows, and 1 - R2 of y on xs: what Schur complements of the correlations, y last, leave of y."""
+    columns = [*xs, y]
+    matrix = "[" + ", ".join("[" + ", ".join("1.0" if a == b else f"corr({a}, {b})" for b in columns) + "]" for a in columns) + "]"
+    return f"""{name}_m AS (SELECT 1 AS k, count(*) AS n, {matrix} AS m FROM {source}),
+{name}_s AS (
+  SELECT * FROM {name}_m
+  UNION ALL
+  SELECT k + 1, n, [[m[i][j] - m[i][1] * m[1][j] / m[1][1] for j in range(2, len(m) + 1)] for i in range(2, len(m) + 1)] FROM {name}_s WHERE len(m) > 1),
+{name} AS (SELECT n, m[1][1] AS rest FROM {name}_s WHERE len(m) = 1)"""
+
+
+def chi2_sf_even(x: str, df: int) -> str:
+    """Upper tail of chi squared with an even number of degrees of freedom."""
+    return f"(exp(-({x}) / 2) * ({' + '.join(f'power(({x}) / 2, {i}) / {math.factorial(i)}' for i in range(df // 2))}))"
+
+
+def f_sf(x: str, d1: int, d2: str) -> str:
+    """Upper tail of the F distribution; the substitution u^2 keeps the integrand smooth at 0."""
+    pdf = lambda u: f"2 * {u} * power({u} * {u}, {d1 / 2 - 1}) * power(1 + {d1} * {u} * {u} / ({d2}), -({d1} + ({d2})) / 2.0)"
+    scale = f"power({d1}.0 / ({d2}), {d1 / 2}) * exp(lgamma(({d1} + ({d2})) / 2.0) - lgamma({d1} / 2.0) - lgamma(({d2}) / 2.0))"
+    return f"(1 - {integral(pdf, f'sqrt({x})', 800)} * {scale})"
