@@ -853,7 +853,16 @@ def qq_positions(spark, d):
     return rounded(diagnostics.ranked_quantiles(_residuals(spark, d), "e"))
 
 
-@query()
+_QQ = f"""zs AS (SELECT res.e / exp(path.ln / 2) AS z FROM path JOIN res ON res.k = path.k),
+pr AS (SELECT row_number() OVER (ORDER BY z) AS position, z, (row_number() OVER (ORDER BY z) - 0.5) / count(*) OVER () AS probability FROM zs),
+newton AS (
+  SELECT position, z, probability, CAST(0 AS DOUBLE) AS x, 0 AS step FROM pr
+  UNION ALL
+  SELECT position, z, probability, x + (abs(probability - 0.5) - {S.t_half("x", repr(PRM.nu))}) / (exp(lgamma({(PRM.nu + 1) / 2}) - lgamma({PRM.nu / 2})) / sqrt({PRM.nu!r} * pi()) * power(1 + x * x / {PRM.nu!r}, -{(PRM.nu + 1) / 2})), step + 1
+  FROM newton WHERE step < 30)"""
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, S.egarch_path(PRM.omega, PRM.alpha, PRM.gamma, PRM.beta, PRM.kappa), _QQ, f"SELECT position, {S.r('z')}, {S.r('probability')}, {S.r('sign(probability - 0.5) * x', 'theoretical')} FROM newton WHERE step = 30", recursive=True))
 def qq_student(spark, d):
     z = egarch.filtered(_series(spark, d), PRM)
     return rounded(diagnostics.qq_table(z, "z", lambda p: special.t_ppf_array(p, PRM.nu)))
