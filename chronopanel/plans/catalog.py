@@ -913,7 +913,15 @@ def anderson_darling(spark, d):
     return rounded(diagnostics.normality(_series(spark, d).withColumnRenamed("e", "value")).select("series", "n", "anderson_darling"))
 
 
-@query()
+_SF = f"""sp AS (SELECT e, (row_number() OVER (ORDER BY e) - 0.375) / (count(*) OVER () + 0.25) AS p FROM res),
+newton AS (
+  SELECT e, p, CAST(0 AS DOUBLE) AS x, 0 AS step FROM sp
+  UNION ALL
+  SELECT e, p, x + (abs(p - 0.5) * sqrt(2 * pi()) - {S.integral(lambda u: f"exp(-{u} * {u} / 2)", "x")}) * exp(x * x / 2), step + 1 FROM newton WHERE step < 30),
+sf AS (SELECT power(corr(e, sign(p - 0.5) * x), 2) AS w FROM newton WHERE step = 30)"""
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, _AD, _SF, f"SELECT 'index' AS series, CAST(any_value(n) AS INT) AS n, {S.r('-any_value(n) - sum((2 * i - 1) * (ln(f) + ln(1 - g))) / any_value(n)', 'anderson_darling')}, (SELECT {S.r('w')} FROM sf) AS shapiro_francia FROM ad", recursive=True))
 def normality(spark, d):
     return rounded(diagnostics.normality(_series(spark, d).withColumnRenamed("e", "value")))
 
