@@ -1,9 +1,10 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust a score.
 
 The base kinds (email, ip, card, phone) are leftmost non-overlapping matches that pass their validator; they always stay.
-The method adds international bank account numbers (mod 97), social security numbers and secrets (long runs of mixed letters and
-digits), which need a score of at least MIN_SCORE: a pattern with a checksum starts higher than one without, and words of its kind
-nearby raise it. So a number that only looks like a social security number, or a long identifier, needs such a word.
+The method adds international bank account numbers (mod 97), social security numbers and secrets (runs of mixed letters and
+digits, or keys of a published format), which need a score of at least MIN_SCORE: a pattern with a checksum or a format of its own
+starts higher than one without, and words of its kind nearby raise it. So a number that only looks like a social security number, or a
+long identifier, needs such a word.
 
 Defined cases: a null text is empty and has no span; positions are code points with exclusive ends; repeated rows each
 have a result; an empty table gives no rows; texts are searched whole, in time in proportion to their length; extra columns are
@@ -31,7 +32,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])")
+#: Published formats of access keys and tokens.
+FORMATS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "secret")
@@ -46,6 +49,8 @@ CONTEXT = {
 }
 #: Of a span that its validator confirmed (or that has none), before its context.
 START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
+#: Of a secret in a published format.
+START_FORMAT = 0.8
 NEAR, PER_WORD, MIN_SCORE = 40, 0.2, 0.6
 
 
@@ -65,9 +70,9 @@ def mod97(iban: str) -> bool:
 
 
 def random_looking(run: str) -> bool:
-    """Letters and digits mixed, of at least three bits a character."""
+    """Letters and digits mixed, of at least 2.5 bits a character: what 16 random hexadecimal digits practically always reach."""
     n = len(run)
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and -sum(k / n * math.log2(k / n) for k in Counter(run).values()) >= 3.0
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and -sum(k / n * math.log2(k / n) for k in Counter(run).values()) >= 2.5
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -106,14 +111,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m.group())]
     found += [("ssn", *m.span()) for m in SSN.finditer(text) if m.group()[:3] not in ("000", "666") and m.group()[0] != "9"]
-    found += [("secret", *m.span()) for m in SECRET.finditer(text) if random_looking(m.group())]
+    found += [("secret", *m.span()) for m in SECRET.finditer(text) if FORMATS.fullmatch(m.group()) or random_looking(m.group())]
     return [x for x in found if span_score(text, *x) >= MIN_SCORE]
 
 
 def span_score(text: str, kind: str, start: int, end: int) -> float:
     around = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
     words = set(re.findall(r"[^\W\d_]+", around))
-    return min(1.0, START[kind] + PER_WORD * sum(w in words for w in CONTEXT[kind]))
+    start_at = START_FORMAT if kind == "secret" and FORMATS.fullmatch(text, start, end) else START[kind]
+    return min(1.0, start_at + PER_WORD * sum(w in words for w in CONTEXT[kind]))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -132,12 +138,12 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from spans(): counts and hash of the base kinds, all spans as text, and how many the method added."""
+    """The contract's columns from spans(): counts and hash of the base kinds, all spans as text, how many the method added, and how many there are."""
     text = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}") for k in BASE]
     added = F.size(F.filter("spans", lambda s: s["kind"].isin(*ADDED))).cast("long").alias("n_added")
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), added)
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
 
 
 def sha256_of(spans_text: str) -> str:

@@ -355,9 +355,22 @@ def test_pii_edges(spark):
     assert got[3]["spans"].endswith("iban:25:52") and got[3]["n_card"] == 1
     assert "ssn:4:15" in got[5]["spans"]
     assert [got[i]["n_added"] for i in range(6, 10)] == [0, 1, 0, 0] and got[7]["spans"] == "secret:9:29"
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in got.values())
     assert pii.spans(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_secrets_by_format_or_nearby_words():
+    key = "AKIA" + "IOSFODNNQEXAMPLE"  # no digit, no word nearby
+    assert pii.added_spans(f"see {key} there") == [("secret", 4, 24)]
+    assert pii.added_spans(f"see {key}X there") == pii.added_spans(f"see x{key} there") == []
+    assert pii.added_spans("password=b7db7aa4a5fcc78305 next") == [("secret", 9, 27)]
+    assert pii.added_spans("build b7db7aa4a5fcc78305 next") == pii.added_spans("password=b7db7aa4 next") == []
+    assert pii.added_spans("the secret word is antidisestablishmentarianism") == []
+    rng = random.Random(3)
+    runs = ["".join(rng.choices("0123456789abcdef", k=16)) for _ in range(2000)]
+    assert sum(map(pii.random_looking, runs)) >= 1990
+
+
 def test_toxicity_held_out(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     rows = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
