@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, packing, passages, pii, repeats, sharding, simhash, toxicity, warc
-from .common import table
+from .common import fresh_path, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -61,7 +61,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
+    return sharding.sharded(table(spark, sf_dir, "documents"), SHARDS, fresh_path(spark, "shards"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ shards take turns claiming their next free slot until the table is full. The tab
 data, so it is broadcast; a row is placed by one hash and one lookup. Adding or removing a shard moves few slots.
 
 Defined cases: a null key has a slot of its own hash; repeated keys go to one shard; columns named slot or shard are
-replaced, others are kept; rows are moved by write_shards only, whole, so texts may be long; an empty table gives no rows.
+replaced, others are kept; rows are moved whole, by write_shards only, so texts may be long, and a key of very many rows is split
+over tasks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLOTS = 65537
 MAX_SLOTS = 1_000_003
@@ -58,7 +60,18 @@ def place(df: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SL
     return keyed.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot")
 
 
-def write_shards(df: DataFrame, shards: list[str], path: str, key: str = "doc_id", rows_a_file: int = 1_000_000) -> None:
-    """df as Parquet, a folder a shard; rows are brought together by shard, and large shards are split over tasks."""
-    placed = place(df, shards, key).hint("rebalance", "shard")
-    placed.write.partitionBy("shard").option("maxRecordsPerFile", rows_a_file).parquet(path)
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What write_shards wrote; schema is that of place, so names of shards stay text."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_shards(df: DataFrame, shards: list[str], path: str, key: str = "doc_id", rows_a_file: int = 1_000_000) -> StructType:
+    """df as Parquet, a folder a shard; rows are brought together by shard, and large shards are split over tasks. Returns what to read."""
+    placed = place(df, shards, key)
+    placed.hint("rebalance", "shard").write.partitionBy("shard").option("maxRecordsPerFile", rows_a_file).parquet(path)
+    return StructType([*(f for f in placed.schema if f.name != "shard"), placed.schema["shard"]])
+
+
+def sharded(df: DataFrame, shards: list[str], path: str, key: str = "doc_id") -> DataFrame:
+    """The rows of df read back from the shards that they were written to."""
+    return read_shards(df.sparkSession, path, write_shards(df, shards, path, key))

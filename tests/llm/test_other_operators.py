@@ -147,6 +147,12 @@ def test_shards_are_written(spark, sf, tmp_path):
     sharding.write_shards(docs, ["a", "b", "c"], str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted((r["doc_id"], r["shard"]) for r in back.collect()) == sorted((r["doc_id"], r["shard"]) for r in sharding.place(docs, ["a", "b", "c"]).collect())
+    names = ["007", "2024-01-01", "x/y"]  # read back as they are
+    rows = spark.createDataFrame([(None, "é"), (2, None), (2, None), (3, "x" * 100_000), *((7, str(i)) for i in range(5000))], "doc_id long, text string")
+    got = sharding.sharded(rows, names, str(tmp_path / "t"))
+    want = sharding.place(rows, names).select(*got.columns)
+    assert got.schema["shard"].dataType.simpleString() == "string" and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert sharding.sharded(rows.limit(0), names, str(tmp_path / "u")).count() == 0
 
 
 def test_sharding_is_balanced_and_stable(spark, sf):
