@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import special
-from chronopanel.functions.columns import INF, clamp
+from chronopanel.functions.columns import INF, clamp, text_key
 
 EPS = 1e-12
 
@@ -129,28 +130,32 @@ def diebold_mariano(df: DataFrame, e1: str, e2: str, power: int = 2, h: int = 1,
 
 
 def _poisson_weights(keys: np.ndarray, rep: int, seed: int) -> np.ndarray:
-    """Poisson(1) weight of each row in a repetition, from a hash of both: the same however rows are dealt."""
-    x = keys + np.uint64((rep * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    return np.searchsorted(_POISSON, u, side="right").astype(float)
+    """Poisson(1) weight of each row in a repetition, the same however rows are dealt.
+
+    Multilinear hashing of three 20-bit parts of the key, with coefficients of 40 bits from the repetition and the top 21 bits as the
+    uniform number: weights of two rows are independent, and those of two repetitions have coefficients of their own.
+    """
+    digest = hashlib.sha256(f"{seed}|{rep}".encode()).hexdigest()
+    c0, c1, c2, c3 = (int(digest[i : i + 10], 16) for i in (0, 10, 20, 30))
+    part = (1 << 20) - 1
+    x = (keys & part) * c0 + (keys >> 20 & part) * c1 + (keys >> 40 & part) * c2 + c3
+    return np.searchsorted(_POISSON, ((x & ((1 << 40) - 1)) >> 19) / float(1 << 21), side="right").astype(float)
 
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
-def bootstrap_r2(df: DataFrame, y: str, p1: str, p2: str, reps: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_r2(df: DataFrame, y: str, p1: str, p2: str, reps: int = 1000, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
     """rep, r2_1, r2_2, difference: Poisson(1) weights stand for resampled rows, so no row moves or multiplies.
 
-    Each task keeps five sums a repetition over its Arrow batches; those alone are shuffled.
+    keys (all columns if none) name a row; rows of the same name have the same weights. Each task keeps five sums a repetition over its Arrow batches; those alone are shuffled.
     """
-    rows = df.filter(F.col(y).isNotNull() & F.col(p1).isNotNull() & F.col(p2).isNotNull()).select(F.xxhash64(*df.columns).alias("k"), F.col(y).cast("double").alias("y"), F.col(p1).cast("double").alias("a"), F.col(p2).cast("double").alias("b"))
+    rows = df.filter(F.col(y).isNotNull() & F.col(p1).isNotNull() & F.col(p2).isNotNull()).select(text_key(*map(F.col, keys or df.columns)).alias("k"), F.col(y).cast("double").alias("y"), F.col(p1).cast("double").alias("a"), F.col(p2).cast("double").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((reps, 5))
         for pdf in batches:
-            keys, v = pdf["k"].to_numpy().view(np.uint64), pdf["y"].to_numpy()
+            keys, v = pdf["k"].to_numpy(), pdf["y"].to_numpy()
             terms = np.column_stack([np.ones(len(v)), v, v * v, (v - pdf["a"].to_numpy()) ** 2, (v - pdf["b"].to_numpy()) ** 2])
             for rep in range(reps):
                 sums[rep] += _poisson_weights(keys, rep, seed) @ terms
@@ -173,9 +178,9 @@ def naive_forecast(df: DataFrame, target: str = "log_volatility") -> DataFrame:
     return df.withColumn("pred", F.col(f"{target}_lag_1"))
 
 
-def random_forecast(df: DataFrame, target: str = "log_volatility", seed: int = 42) -> DataFrame:
-    """Normal draws with the target's mean and deviation, from hashes of the row: the same however rows are dealt."""
-    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(*df.columns, F.lit(seed), F.lit(k)), 11) + 0.5) / float(1 << 53)
+def random_forecast(df: DataFrame, target: str = "log_volatility", seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Normal draws with the target's mean and deviation, from hashes of the row's keys (all columns if none): the same however rows are dealt."""
+    uniform = lambda k: (text_key(*map(F.col, keys or df.columns), F.lit(seed), F.lit(k)) + 0.5) / float(1 << 60)
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
     stats = df.agg(F.avg(target).alias("__m"), F.stddev_pop(target).alias("__s"))
     return df.withColumn("__z", normal).join(F.broadcast(stats)).withColumn("pred", F.col("__z") * F.col("__s") + F.col("__m")).drop("__m", "__s", "__z")  # one row

@@ -714,16 +714,27 @@ def diebold_mariano(spark, d):
     return rounded(evaluate.diebold_mariano(df, "e1", "e2"))
 
 
-@query()
+_LAGGED = f"bv AS (SELECT * FROM (SELECT {S.text_key('ticker', 'date')} AS key, lead(log_volatility) OVER ({_LAG}) AS y, lag(log_volatility) OVER ({_LAG}) AS a, lag(log_volatility, 2) OVER ({_LAG}) AS b FROM vols) WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL)"
+_RESAMPLED = """bs AS (SELECT rep, sum(w) AS n, sum(w * y) AS s, sum(w * y * y) AS ss, sum(w * (y - a) * (y - a)) AS e1, sum(w * (y - b) * (y - b)) AS e2 FROM weighted GROUP BY rep),
+bd AS (SELECT (e2 - e1) / (ss - s * s / n) AS difference FROM bs),
+bm AS (SELECT avg(difference) AS mean, quantile_cont(difference, 0.025) AS low, quantile_cont(difference, 0.975) AS high, avg(CAST(difference <= 0 AS INT)) AS share FROM bd)"""
+
+
+@query(S.with_(S.PANEL, S.RETURNS, S.VOLATILITY, _LAGGED, S.poisson_weights("weighted", "bv", 1000, 42), _RESAMPLED, f"SELECT {S.r('mean')}, {S.r('low')}, {S.r('high')}, {S.r('2 * least(share, 1 - share)', 'p_value')} FROM bm"))
 def bootstrap_r2(spark, d):
     df = _naive(spark, d).select("ticker", "date", "log_volatility", "log_volatility_lag_1", "log_volatility_lag_2")
-    return rounded(evaluate.bootstrap_summary(evaluate.bootstrap_r2(df, "log_volatility", "log_volatility_lag_1", "log_volatility_lag_2", reps=1000)))
+    return rounded(evaluate.bootstrap_summary(evaluate.bootstrap_r2(df, "log_volatility", "log_volatility_lag_1", "log_volatility_lag_2", reps=1000, keys=("ticker", "date"))))
 
 
-@query()
+_DRAWN = f"""lv AS (SELECT ticker, date, {S.r('log_volatility', 'y')} FROM vols WHERE log_volatility IS NOT NULL),
+dr AS (SELECT y, avg(y) OVER () AS m, stddev_pop(y) OVER () AS s, ({S.text_key('ticker', 'date', '42', '1')} + 0.5) / {1 << 60}.0 AS u1, ({S.text_key('ticker', 'date', '42', '2')} + 0.5) / {1 << 60}.0 AS u2 FROM lv),
+nv AS (SELECT y, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) * s + m AS p FROM dr)"""
+
+
+@query(S.with_(S.PANEL, S.RETURNS, S.VOLATILITY, _DRAWN, f"SELECT count(*) AS n, {S.r('avg(abs(y - p))', 'mae')}, {S.r('avg((y - p) * (y - p))', 'mse')}, {S.r('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {S.r('1 - avg((y - p) * (y - p)) / var_pop(y)', 'r2')} FROM nv"))
 def random_baseline(spark, d):
     rows = rounded(_volatility(spark, d).filter("log_volatility is not null").select("ticker", "date", "log_volatility"))
-    return rounded(evaluate.regression_metrics(evaluate.random_forecast(rows), "log_volatility", "pred"))
+    return rounded(evaluate.regression_metrics(evaluate.random_forecast(rows, keys=("ticker", "date")), "log_volatility", "pred"))
 
 
 # Diagnostics of the residual series

@@ -105,3 +105,20 @@ def f_sf(x: str, d1: int, d2: str) -> str:
     pdf = lambda u: f"2 * {u} * power({u} * {u}, {d1 / 2 - 1}) * power(1 + {d1} * {u} * {u} / ({d2}), -({d1} + ({d2})) / 2.0)"
     scale = f"power({d1}.0 / ({d2}), {d1 / 2}) * exp(lgamma(({d1} + ({d2})) / 2.0) - lgamma({d1} / 2.0) - lgamma(({d2}) / 2.0))"
     return f"(1 - {integral(pdf, f'sqrt({x})', 800)} * {scale})"
+
+
+def text_key(*columns: str) -> str:
+    """60 bits of the MD5 of the columns as text."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(columns)})), 1, 15) AS BIGINT)"
+
+
+def poisson_weights(name: str, source: str, reps: int, seed: int) -> str:
+    """CTE name(rep, w and the columns of source): Poisson(1) weights of each repetition by multilinear hashing of the column key."""
+    coefficients = ", ".join(f"CAST('0x' || substr(h, {10 * i + 1}, 10) AS BIGINT) AS c{i}" for i in range(4))
+    part = (1 << 20) - 1
+    x = f"(key & {part}) * c0 + ((key >> 20) & {part}) * c1 + ((key >> 40) & {part}) * c2 + c3"
+    least = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    counted = " + ".join(f"CAST(u >= {x!r}::DOUBLE AS INT)" for x in least)
+    return f"""{name}_c AS (SELECT rep, {coefficients} FROM (SELECT rep, sha256(concat('{seed}|', rep)) AS h FROM (SELECT unnest(range(0, {reps})) AS rep))),
+{name}_u AS (SELECT rep, s.*, CAST((({x}) & {(1 << 40) - 1}) >> 19 AS DOUBLE) / {1 << 21}.0 AS u FROM {source} s, {name}_c),
+{name} AS (SELECT *, {counted} AS w FROM {name}_u)"""

@@ -177,8 +177,12 @@ def test_diebold_mariano_prefers_smaller_errors(spark):
     assert s["low"] > 0 and s["p_value"] < 0.05
     one, many = (evaluate.bootstrap_r2(rows.repartition(k), "y", "p2", "p1", 20).orderBy("rep").collect() for k in (1, 5))
     np.testing.assert_allclose(np.array(one), np.array(many))
-    weights = evaluate._poisson_weights(np.arange(100_000, dtype=np.uint64), 1, 42)
+    weights = evaluate._poisson_weights(np.arange(100_000, dtype=np.int64), 1, 42)
     assert weights.mean() == pytest.approx(1, abs=0.02) and weights.var() == pytest.approx(1, abs=0.03)
+    keys = np.random.default_rng(5).integers(0, 1 << 60, 3000)
+    drawn = np.array([evaluate._poisson_weights(keys, rep, 42) for rep in range(400)])
+    assert drawn.mean() == pytest.approx(1, abs=0.01) and drawn.sum(axis=1).var() == pytest.approx(3000, rel=0.25)
+    assert abs(np.corrcoef(drawn[0], drawn[1])[0, 1]) < 0.07 and abs(np.corrcoef(drawn[:, 0], drawn[:, 1])[0, 1]) < 0.2
 
 
 def test_autocorrelation_and_ljung_box(spark):
