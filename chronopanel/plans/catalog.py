@@ -892,12 +892,6 @@ def kolmogorov_smirnov(spark, d):
     return rounded(spark.createDataFrame([(got["distance"], got["n"], got["p_value"])], "distance double, n long, p_value double"))
 
 
-@query()
-def adf_kpss_za(spark, d):
-    df = features.log_returns(panels.panel_prio(spark, d)).select(F.col("ticker").alias("series"), "date", F.col("log_return").alias("value"))
-    return rounded(diagnostics.stationarity(df))
-
-
 _KPSS = """kr AS (SELECT ticker, date, ln(close / lag(close) OVER w) AS v FROM prio WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 ke AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, v - avg(v) OVER (PARTITION BY ticker) AS e, count(*) OVER (PARTITION BY ticker) AS n FROM kr WHERE v IS NOT NULL),
 kn AS (SELECT DISTINCT ticker, n, CAST(least(ceil(12 * power(n / 100.0, 0.25)), n - 1) AS INT) AS q FROM ke),
@@ -914,6 +908,48 @@ def kpss_by_ticker(spark, d):
     return rounded(diagnostics.stationarity(rows).select("series", "n", "kpss", "kpss_p"))
 
 
+# Regressions by Schur complements of centred sums: rd are the rows of the differences (j, target y, level v), rl those with their lags.
+_ADF = f"""rv AS (SELECT ticker, v, row_number() OVER w - 1 AS j, lead(v) OVER w - v AS y, count(*) OVER (PARTITION BY ticker) AS n FROM kr WHERE v IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+rd AS (SELECT *, CAST(least(ceil(12 * power(n / 100.0, 0.25)), n // 2 - 2) AS INT) AS top FROM rv WHERE y IS NOT NULL),
+rl AS (SELECT a.ticker, a.j, a.j - b.j AS c, b.y AS x FROM rd a JOIN rd b ON b.ticker = a.ticker AND b.j < a.j AND b.j >= a.j - a.top
+  UNION ALL SELECT ticker, j, 900, v FROM rd UNION ALL SELECT ticker, j, 1000, y FROM rd),
+wide AS (SELECT r.ticker, r.j, CASE WHEN r.c = 900 THEN 0 ELSE r.c END AS c, r.x FROM rl r JOIN rd ON rd.ticker = r.ticker AND rd.j = r.j WHERE r.j >= rd.top),
+ws AS (SELECT a.ticker, a.c AS a, b.c AS b, covar_pop(a.x, b.x) AS s FROM wide a JOIN wide b ON b.ticker = a.ticker AND b.j = a.j GROUP BY 1, 2, 3),
+wm AS ({S.matrix('ws', 'ticker')}),
+{S.eliminated('we', 'wm')},
+wr AS (SELECT ticker, gone - 1 AS lags, m[len(m)][len(m)] AS v FROM we WHERE gone > 0 UNION ALL SELECT ticker, gone, m[2][2] - m[1][2] * m[1][2] / m[1][1] FROM we WHERE len(m) = 2),
+best AS (SELECT wr.ticker, CAST(arg_min(lags, (d.n - 1 - d.top) * ln(v) + 2 * (lags + 2)) AS INT) AS lags, any_value(d.n) AS n FROM wr JOIN (SELECT DISTINCT ticker, n, top FROM rd) d ON d.ticker = wr.ticker GROUP BY 1),
+narrow AS (SELECT r.* FROM rl r JOIN best ON best.ticker = r.ticker WHERE r.j >= lags AND (r.c <= lags OR r.c >= 900)),
+ns AS (SELECT a.ticker, a.c AS a, b.c AS b, covar_pop(a.x, b.x) AS s FROM narrow a JOIN narrow b ON b.ticker = a.ticker AND b.j = a.j GROUP BY 1, 2, 3),
+nm AS ({S.matrix('ns', 'ticker')}),
+{S.eliminated('ne', 'nm')},
+adf AS (SELECT best.ticker, lags, m[1][2] / m[1][1] / sqrt((m[2][2] - m[1][2] * m[1][2] / m[1][1]) / (best.n - 1 - lags - lags - 2) / m[1][1]) AS adf FROM ne JOIN best ON best.ticker = ne.ticker WHERE len(m) = 2),
+ap AS (SELECT *, CASE WHEN adf <= -1.61 THEN 2.1659 + 1.4412 * adf + 0.038269 * adf * adf ELSE 1.7339 + 0.93202 * adf - 0.12745 * adf * adf - 0.010368 * power(adf, 3) END AS u FROM adf)"""
+
+#: Of each break, the sums of the step from it on with the trend (1), the lag (2), the level (3) and the target (4).
+_ZA = f"""zd AS (SELECT ticker, j, n, CAST(j AS DOUBLE) AS x1, lag(y) OVER (PARTITION BY ticker ORDER BY j) AS x2, v AS x3, y AS x4 FROM rd),
+zx AS (SELECT ticker, j, n, unnest([1, 2, 3, 4]) AS c, unnest([x1, x2, x3, x4]) AS x FROM zd WHERE x2 IS NOT NULL),
+zc AS (SELECT *, x - avg(x) OVER (PARTITION BY ticker, c) AS e FROM zx),
+zb AS (SELECT a.ticker, a.c AS a, b.c AS b, sum(a.e * b.e) AS s FROM zc a JOIN zc b ON b.ticker = a.ticker AND b.j = a.j GROUP BY 1, 2, 3),
+zt AS (SELECT ticker, j AS k, c, n, sum(e) OVER (PARTITION BY ticker, c ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS s, CAST(n - 1 - j AS DOUBLE) AS above FROM zc),
+zk AS (SELECT * FROM zt WHERE k >= floor(0.15 * n) AND k < floor((1 - 0.15) * n)),
+zs AS (SELECT zk.ticker, zk.k, zb.a, zb.b, zb.s FROM zb JOIN zk ON zk.ticker = zb.ticker AND zk.c = 1
+  UNION ALL SELECT ticker, k, 0, c, s FROM zk UNION ALL SELECT ticker, k, c, 0, s FROM zk
+  UNION ALL SELECT ticker, k, 0, 0, above - above * above / (n - 2) FROM zk WHERE c = 1),
+zm AS ({S.matrix('zs', 'ticker, k')}),
+{S.eliminated('ze', 'zm')},
+za AS (SELECT ze.ticker, k, m[1][2] / m[1][1] / sqrt((m[2][2] - m[1][2] * m[1][2] / m[1][1]) / (best.n - 2 - 5) / m[1][1]) AS t FROM ze JOIN best ON best.ticker = ze.ticker WHERE len(m) = 2),
+zz AS (SELECT ticker, min(t) AS zivot_andrews, CAST(arg_min(k, t) AS INT) AS break_at FROM za GROUP BY 1),
+us AS (SELECT kp.series, kp.n, adf, lags AS adf_lags, CASE WHEN adf >= 2.74 THEN 1.0 WHEN adf <= -18.83 THEN 0.0 ELSE {S.normal_cdf("u")} END AS adf_p, kpss, {_KPSS_P} AS kpss_p, zivot_andrews, break_at
+  FROM kp JOIN ap ON ap.ticker = kp.series JOIN zz ON zz.ticker = kp.series)"""
+
+
+@query(S.with_(S.PRIO, _KPSS, _ADF, _ZA, f"SELECT series, n, {S.r('adf')}, adf_lags, {S.r('adf_p')}, {S.r('kpss')}, {S.r('kpss_p')}, {S.r('zivot_andrews')}, break_at, zivot_andrews < -4.93 AS break_rejects, adf_p < 0.05 AND kpss_p >= 0.05 AS stationary FROM us", recursive=True))
+def adf_kpss_za(spark, d):
+    df = features.log_returns(panels.panel_prio(spark, d)).select(F.col("ticker").alias("series"), "date", F.col("log_return").alias("value"))
+    return rounded(diagnostics.stationarity(df))
+
+
 _AD = f"""az AS (SELECT (e - avg(e) OVER ()) / stddev_samp(e) OVER () AS z FROM res),
 af AS (SELECT row_number() OVER (ORDER BY z) AS i, count(*) OVER () AS n, greatest(1e-15, least(1 - 1e-15, 0.5 + sign(z) * {S.integral(lambda u: f"exp(-{u} * {u} / 2)", "abs(z)")} / sqrt(2 * pi()))) AS f FROM az),
 ad AS (SELECT a.n, a.i, a.f, b.f AS g FROM af a JOIN af b ON b.i = a.n + 1 - a.i)"""

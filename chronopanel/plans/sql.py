@@ -95,6 +95,23 @@ def unexplained(name: str, source: str, y: str, xs: list[str]) -> str:
 {name} AS (SELECT n, m[1][1] AS rest FROM {name}_s WHERE len(m) = 1)"""
 
 
+def eliminated(name: str, source: str) -> str:
+    """CTE name(the columns of source, gone): Schur complements of the matrices m of source, column by column, down to two columns."""
+    return f"""{name} AS (
+  SELECT *, 0 AS gone FROM {source}
+  UNION ALL
+  SELECT * REPLACE ([[m[i][j] - m[i][1] * m[1][j] / m[1][1] for j in range(2, len(m) + 1)] for i in range(2, len(m) + 1)] AS m, gone + 1 AS gone) FROM {name} WHERE len(m) > 2)"""
+
+
+def matrix(source: str, keys: str) -> str:
+    """Matrices m of the sums s of source(keys, a, b, s), in the order of a and b."""
+    return f"SELECT {keys}, list(r ORDER BY a) AS m FROM (SELECT {keys}, a, list(s ORDER BY b) AS r FROM {source} GROUP BY {keys}, a) GROUP BY {keys}"
+
+
+def normal_cdf(x: str) -> str:
+    return f"(0.5 + sign({x}) * {integral(lambda u: f'exp(-{u} * {u} / 2)', f'abs({x})')} / sqrt(2 * pi()))"
+
+
 def chi2_sf_even(x: str, df: int) -> str:
     """Upper tail of chi squared with an even number of degrees of freedom."""
     return f"(exp(-({x}) / 2) * ({' + '.join(f'power(({x}) / 2, {i}) / {math.factorial(i)}' for i in range(df // 2))}))"
