@@ -10,7 +10,7 @@ from chronopanel.sources import files, panels
 from chronopanel.sources.staging import fresh_path
 
 from . import sql as S
-from .catalog import _forecasts, _prio_residuals, _residuals, query
+from .catalog import _CENTRED, _LM, _MOM, _SIGN, PRM, _forecasts, _prio_residuals, _residuals, query
 
 _ORDERS = "SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS ticker, round(o_totalprice + 1.3e-9, 6) + 0.0 AS price FROM orders WHERE o_totalprice IS NOT NULL"
 
@@ -96,7 +96,40 @@ def arch_effect(spark, d):
     return rounded(spark.createDataFrame([(float(got["lm"]), float(got["p_value"]), len(got["significant_lags"]), bool(got["arch_effect"]))], "lm double, p_value double, n_outside long, arch_effect boolean"))
 
 
-@query()
+def _figures(names: list[str], values: list[str]) -> str:
+    return f"unnest([{', '.join(repr(n) for n in names)}]) AS figure, unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in values)}]) AS value"
+
+
+def _part(*parts: str) -> str:
+    """A query over the standardised residuals in place of res."""
+    return "(" + S.with_("res AS (SELECT * FROM zs)", *parts, recursive=True) + ")"
+
+
+def _box_sql(name: str, of: str) -> str:
+    ctes = _CENTRED.format(of) + ", qs AS (SELECT lag, n * (n + 2) * sum((sk / s0) * (sk / s0) / (n - lag)) OVER (ORDER BY lag) AS q FROM l, s)"
+    return " UNION ALL ".join(_part(ctes, f"SELECT {_figures([f'{name}.{k}.q', f'{name}.{k}.p_value'], ['q', S.chi2_sf_even('q', k)])} FROM qs WHERE lag = {k}") for k in (10, 20))
+
+
+def _slope_figures(c: str) -> str:
+    t = f"regr_slope(y, {c}) / sqrt(regr_syy(y, {c}) * (1 - regr_r2(y, {c})) / (count(*) - 2) / regr_sxx(y, {c}))"
+    fit = f"sf AS (SELECT regr_slope(y, {c}) AS slope, {t} AS t, count(*) AS n FROM sx)"
+    return _part(_SIGN, fit, f"SELECT {_figures([f'sign_bias.{c}.{x}' for x in ('slope', 't', 'p_value')], ['slope', 't', '1 - 2 * ' + S.t_half('abs(t)', 'n - 2')])} FROM sf")
+
+
+_REPORT = " UNION ALL ".join([
+    _box_sql("ljung_box", "e"),
+    _box_sql("ljung_box_squared", "(e * e)"),
+    _part(*_LM, f"SELECT {_figures(['arch_lm.lm', 'arch_lm.df', 'arch_lm.p_value'], ['n * (1 - rest)', '12', S.chi2_sf_even('n * (1 - rest)', 12)])} FROM al"),
+    _part(*_LM, f"SELECT {_figures(['breusch_pagan.lm', 'breusch_pagan.df', 'breusch_pagan.p_value'], ['lm', '2', 'exp(-lm / 2)'])} FROM bp"),
+    _part(*_LM, f"SELECT {_figures(['white.lm', 'white.df', 'white.p_value'], ['n * (1 - rest)', '4', S.chi2_sf_even('n * (1 - rest)', 4)])} FROM wh"),
+    _part(*_LM, f"SELECT {_figures(['joint_sign_bias.f', 'joint_sign_bias.df1', 'joint_sign_bias.df2', 'joint_sign_bias.p_value'], ['f', '3', 'd2', S.f_sf('f', 3, 'd2')])} FROM jf"),
+    _part(_MOM, f"SELECT {_figures([f'moments.{x}' for x in ('n', 'mean', 'variance', 'std', 'skewness', 'kurtosis', 'beyond_2', 'beyond_3')] + ['jarque_bera'], ['n', 'mean', 'v', 'sqrt(v)', 'm3 / power(v, 1.5)', 'm4 / (v * v)', 'beyond_2', 'beyond_3', 'n / 6.0 * (m3 * m3 / (v * v * v) + power(m4 / (v * v) - 3, 2) / 4)'])} FROM mm"),
+    *(_slope_figures(c) for c in ("negative", "negative_size", "positive_size")),
+    _part("q AS (SELECT date, e * e AS q, e * e - avg(e * e) OVER () AS c FROM res), s AS (SELECT q, sum(c) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM q)", f"SELECT {_figures(['nyblom'], ['sum(s * s) / (count(*) * count(*) * var_samp(q))'])} FROM s"),
+])
+
+
+@query(S.with_(S.INDEX, S.RESIDUALS, S.egarch_path(PRM.omega, PRM.alpha, PRM.gamma, PRM.beta, PRM.kappa), "zs AS (SELECT res.date, res.k, res.e / exp(path.ln / 2) AS e FROM path JOIN res ON res.k = path.k WHERE res.k > 0)", f"SELECT figure, {S.r('value')} FROM ({_REPORT})", recursive=True))
 def diagnostic_report(spark, d):
     """All tests of the standardised residuals, a row a figure; the tests themselves are queries of their own."""
     z = _forecasts(spark, d).filter("sigma2 is not null").select("date", (F.col("e") / F.sqrt("sigma2")).alias("z"))
