@@ -467,7 +467,14 @@ def arima_blocks(spark, d):
     return rounded(arima.walk_forward_blocks(panels.index(spark, d), "weighted_log_return", 5, 20))
 
 
-@query()
+_AR1 = """ly AS (SELECT ticker, date, ln(close) AS y, ln(close) - lag(ln(close)) OVER w AS z, row_number() OVER w - 1 AS i FROM prio WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+lz AS (SELECT *, lag(z) OVER w AS b FROM ly WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+lf AS (SELECT *, lag(y) OVER w + regr_intercept(z, b) OVER f + regr_slope(z, b) OVER f * lag(z) OVER w AS step FROM lz
+  WINDOW w AS (PARTITION BY ticker ORDER BY date), f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lp AS (SELECT *, last_value(CASE WHEN i >= 100 AND (i - 100) % 21 = 0 THEN step END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM lf)"""
+
+
+@query(S.with_(S.PRIO, _AR1, f"SELECT ticker AS series, date, {S.r('y', 'y_true')}, {S.r('p', 'y_pred')}, {S.r('y - p', 'arima_resid')} FROM lp WHERE i >= 100"))
 def arima_110(spark, d):
     df = panels.panel_prio(spark, d).select(F.col("ticker").alias("series"), "date", F.log("close").alias("value"))
     return rounded(df.groupBy("series").applyInPandas(arima.arima_forecasts((1, 1, 0), 100), "series string, date date, y_true double, y_pred double, arima_resid double"))
