@@ -63,9 +63,10 @@ def attach_residuals(series: DataFrame, residuals: DataFrame) -> DataFrame:
     return joined.filter(F.col("arima_resid").isNotNull())
 
 
-def ticker_codes(df: DataFrame) -> DataFrame:
-    """ticker_id: the ordinal of each name, ranked on the distinct names only."""
-    names = df.select("ticker").distinct().withColumn("ticker_id", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))
+def ticker_codes(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """ticker_id: the ordinal of each name, ranked on the distinct names only (names: these, where they are at hand)."""
+    names = df.select("ticker").distinct() if names is None else names
+    names = names.withColumn("ticker_id", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))
     return df.join(names, "ticker")
 
 

@@ -18,11 +18,17 @@ META = ("date", "split", "ticker", "ticker_id")
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """From quotes with log_sigma_garch: volatility, indicators, lags, next-day target, complete rows, date split, ticker code."""
+    """From quotes with log_sigma_garch: volatility, indicators, lags, next-day target, complete rows, date split, ticker code.
+
+    The wide table is worked out twice and never written or shuffled: of the first pass only its dates and tickers are kept, and the
+    joins of the second leave its rows where the windows have put them. So df is to be deterministic.
+    """
     df = features.with_volatility(features.with_all_features(df)).filter("log_sigma_garch is not null")
     df = features.with_lags(df, [*features.TECHNICAL, TARGET, *INSIGHT])
-    df = staged(drop_incomplete(features.with_next_target(df, TARGET)), "learning")  # read three times below
-    return ticker_codes(splits.split_by_distinct_dates(df)).drop("log_volume", "high", "low")
+    df = drop_incomplete(features.with_next_target(df, TARGET))
+    seen = staged(df.groupingSets([["date"], ["ticker"]], "date", "ticker").agg(F.grouping("date").alias("of_ticker")), "learning-keys")
+    df = ticker_codes(df, seen.filter("of_ticker = 1").select("ticker"))  # before the other join: by the key of the windows
+    return splits.split_by_distinct_dates(df, days=seen.filter("of_ticker = 0").select("date")).drop("log_volume", "high", "low")
 
 
 def _lags(columns: tuple[str, ...], with_lags: bool = True) -> list[str]:

@@ -23,13 +23,13 @@ def split_by_time_range(df: DataFrame, ratio: float = 0.8, least_rows: int = 2)
     return rows.join(F.broadcast(cut)).withColumn("split", F.when(F.unix_date("date") > F.col("__cut"), "test").otherwise("train")).drop("__cut")  # one row
 
 
-def split_by_distinct_dates(df: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """The first int(ratio * k) of the k distinct dates are train."""
-    days = df.select("date").distinct()
+def split_by_distinct_dates(df: DataFrame, ratio: float = 0.8, days: DataFrame | None = None) -> DataFrame:
+    """The first int(ratio * k) of the k distinct dates (days: these, where they are at hand) are train."""
+    days = df.select("date").distinct() if days is None else days
     n = Window.orderBy("date")
     ranked = days.withColumn("__n", F.row_number().over(n)).withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy()))
     split = F.when(F.col("__n") <= F.floor(F.col("__k") * F.lit(_ratio(ratio))), "train").otherwise("test")
-    return df.join(ranked.select("date", split.alias("split")), "date")
+    return df.join(F.broadcast(ranked.select("date", split.alias("split"))), "date")  # a row a calendar day
 
 
 def split_by_rows(df: DataFrame, ratio: float = 0.8) -> DataFrame:

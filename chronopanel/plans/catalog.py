@@ -987,11 +987,11 @@ _READY: dict[tuple[str, str], DataFrame] = {}
 
 
 def _learning(spark, d) -> DataFrame:
-    """The wide table that all ablations project, written once an application and input."""
+    """The wide table that all ablations project; its dates and tickers are found once an application and input."""
     key = spark.sparkContext.applicationId, d
     if key not in _READY:
-        df = panels.panel(spark, d).join(_insight(spark, d), "date", "left")
-        _READY[key] = staged(datasets.prepare(df), "learning-ready")
+        df = panels.panel(spark, d, for_windows=True).join(F.broadcast(_insight(spark, d)), "date", "left")  # a row a calendar day
+        _READY[key] = datasets.prepare(df)
     return _READY[key]
 
 

@@ -12,12 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, date, close, high, low, volume) by supplier and ship date."""
+def panel(spark: SparkSession, sf_dir: str, for_windows: bool = False) -> DataFrame:
+    """(ticker, date, close, high, low, volume) by supplier and ship date.
+
+    for_windows: line items are dealt by ticker at once, so that windows by ticker need no exchange of their own. Without sums before that
+    exchange, which hardly pay where few line items share a supplier and day.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_quantity")
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"))
+        (items.repartition("ticker") if for_windows else items)
+        .groupBy("ticker", "date")
         .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").alias("volume"))
     )
 

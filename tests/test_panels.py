@@ -138,6 +138,19 @@ def test_classification_metrics(spark):
     assert r["roc_auc"] == pytest.approx((1 + 1 + 0.5 + 0) / 4)
 
 
+def test_learning_table_is_neither_written_nor_shuffled(spark, sf, monkeypatch):
+    from chronopanel.plans import catalog
+
+    written = []
+    monkeypatch.setattr(datasets, "staged", lambda df, label, write=datasets.staged: written.append(df.columns) or write(df, label))
+    monkeypatch.setattr(catalog, "_READY", {})
+    df = catalog.queries()["variant_complete"](spark, sf)
+    assert len(df.columns) > 40 and written == [["date", "ticker", "of_ticker"]]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and sum("REPARTITION_BY_COL" in line for line in moved) == 1, moved  # line items, and orders by day
+
+
 def test_learning_table_and_variants(spark):
     df = panel(spark, days=90, log_sigma_garch=F.rand(1) - 1)
     ready = datasets.prepare(df)
