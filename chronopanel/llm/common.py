@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronopanel.sources.staging import fresh_path, release, shared_dir, staged
+from chronopanel.sources.staging import discard, fresh_path, release, shared_dir, staged
 
-__all__ = ["fresh_path", "id_and_text", "kept_by_text", "only_of_one", "packed_row", "release", "shared_dir", "staged", "table", "text_or_empty", "tune"]
+__all__ = ["discard", "fresh_path", "id_and_text", "kept_by_text", "only_of_one", "packed_row", "release", "shared_dir", "staged", "table", "text_or_empty", "tune"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

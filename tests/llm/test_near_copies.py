@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.llm import near_copies, simhash
 from tests.llm.test_text_operators import EDGE, docs_of
@@ -57,6 +58,33 @@ def test_pipeline_stage_removes_copies_beyond_four_bits(spark, sf):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs_of(spark, texts), sf).collect()) == [0, 5]
 
 
+def around_the_bits(rng):
+    """Texts of which some are linked by four bits, others by the similarity only, and some by four bits against the similarity."""
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        texts += [" ".join(base), *(edited(rng, base, k) for k in (0, 1, 1, 2, 3, 8))]
+    return texts
+
+
+def test_pipeline_stage_links_by_simhash_first(spark, sf, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts, tables = around_the_bits(random.Random(3)), {}
+    monkeypatch.setattr(near_copies, "staged", lambda df, label, write=near_copies.staged: tables.setdefault(label, []).append(write(df, label)) or tables[label][-1])
+    monkeypatch.setattr(near_copies, "discard", lambda *_: None)
+    docs = docs_of(spark, texts)
+    stage = corpus_pipeline.near_stage(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in stage.collect()) == brute_kept(texts)
+    ids = {r["h"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    fps = [simhash.fingerprint(t) for t in texts]
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    links = [[(ids[r["a"]], ids[r["b"]]) for r in t.collect()] for t in tables["near-links"]]
+    assert len(links) >= 2 and links[0] and any(links[1:])
+    assert all((fps[a] ^ fps[b]).bit_count() <= 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links[0])
+    linked = {frozenset(p) for p in links[0]}
+    assert not any(frozenset((ids[r["a"]], ids[r["b"]])) in linked for r in tables["near-apart"][0].collect())
+
+
 def test_near_copies_edges(spark):
     docs = docs_of(spark, EDGE, ids=[4, 5, 6, None, 8, 9, 9, 2])
     rows = simhash.one_of_each(docs, near_copies.classes(docs)).collect()
