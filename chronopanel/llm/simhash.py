@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, only_of_one, staged, tune
+from .common import discard, id_and_text, only_of_one, staged, tune
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -205,6 +205,7 @@ def link_fingerprints(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         rows = rows.join(large, "key", "left_anti").unionByName(chunks)
     dealt = rows.repartition("key").sortWithinPartitions("key", "side")
     out = staged(dealt.mapInArrow(_verify, "a long, b long").distinct(), "simhash-links")
+    discard(keyed, large)
     tune(spark)
     return out
 
@@ -214,12 +215,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-low")
-        large = staged(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "star-large")
+        first = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-low")
+        large = staged(both.join(first, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "star-large")
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "star-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         after = staged(small, "star")
         moved = after.join(edges, ["u", "v"], "left_anti").head(1) or edges.join(after, ["u", "v"], "left_anti").head(1)
+        discard(edges, first, large, low)
         edges = after
         if not moved:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,11 +1,14 @@
 """Near copies against the Jaccard similarity of all pairs."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.llm import near_copies, simhash
+from chronopanel.llm.common import shared_dir
 from tests.llm.test_text_operators import EDGE, docs_of
 
 
@@ -85,6 +88,22 @@ def test_pipeline_stage_links_by_simhash_first(spark, sf, monkeypatch):
     assert not any(frozenset((ids[r["a"]], ids[r["b"]])) in linked for r in tables["near-apart"][0].collect())
 
 
+def test_near_copies_leave_little_on_disk(spark):
+    """Of what is staged, only identifiers and links stay; the files of each shuffle go when it has been read."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark._jvm.System.gc()
+    held = lambda: sum("shuffle_" in manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size()))
+    docs, before, had = docs_of(spark, around_the_bits(random.Random(4))).localCheckpoint(), held(), set(os.listdir(shared_dir(spark))) if os.path.isdir(shared_dir(spark)) else set()
+    found = near_copies.classes(docs, small=4, chunk=10)
+    until = time.time() + 20
+    while held() > before and time.time() < until:
+        time.sleep(0.2)
+    assert held() <= before
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(shared_dir(spark))) - had}
+    assert not left & {"near-prefixes", "near-sets", "near-candidates", "near-pairs", "near-groups", "near-wide", "simhash-keys"}, left
+    assert found.count() == docs.count()
+
+
 def test_near_copies_edges(spark):
     docs = docs_of(spark, EDGE, ids=[4, 5, 6, None, 8, 9, 9, 2])
     rows = simhash.one_of_each(docs, near_copies.classes(docs)).collect()
